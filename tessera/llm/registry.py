@@ -1,10 +1,11 @@
 """The training-data queries and, where SQL can express them, their equivalents."""
 
-from tessera.llm import decontaminate, licenses, lines, packing, quality, rules, shards, warc
+from tessera.llm import decontaminate, licenses, lines, ngram_join, packing, quality, rules, shards, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_interleaved_shards": shards.op2_interleaved_shards,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_pack_ffd": packing.op5_pack_ffd,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
