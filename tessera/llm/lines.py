@@ -66,8 +66,11 @@ def removals(rows: DataFrame, text: str, id_: str, site: str, min_sites: int, mi
     return gone.groupBy("_key").agg(F.collect_set("_pos").alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", id_: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, count: bool = False) -> DataFrame:
-    """The documents with boilerplate lines removed; with ``count``, also n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, *, text: str = "text", id_: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, count: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """The documents with boilerplate lines removed; with ``count``, also n_lines and n_removed.
+
+    ``drop_emptied`` drops the documents that lost lines and have only blanks left.
+    """
     hidden, names = masked(docs)
     at = {n: f"c{i}" for i, n in enumerate(names)}
     rows = hidden.withColumn("_key", F.xxhash64(at[id_], at[text]))
@@ -76,6 +79,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_: str = "doc_id", sit
     out = rows.join(gone, "_key", "left")
     kept = F.expr(f"array_join(filter(split({at[text]}, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
     out = out.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(at[text])).otherwise(kept))
+    if drop_emptied:
+        out = out.where(F.col("_gone").isNull() | F.col("_text").rlike("\\S"))
     columns = [F.col("_text").alias(c) if c == at[text] else F.col(c) for c in hidden.columns]
     if not count:
         return out.select(*columns).toDF(*names)

@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their equivalents."""
 
-from tessera.llm import decontaminate, licenses, lines, ngram_join, packing, quality, rules, shards, warc
+from tessera.llm import decontaminate, licenses, lines, ngram_join, packing, quality, rules, shards, suffix_dedup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality_qda": quality.op7_quality_qda,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
