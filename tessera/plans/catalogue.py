@@ -1,6 +1,6 @@
-"""The registered queries: each applies one operator to the driver's tables."""
+"""All registered queries: each applies one operator to the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import alignment, arrays, checkpoints, history, objects, storage  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401
