@@ -8,8 +8,8 @@ of an n-gram are complete within its fragment:
 1. Fragments find n-grams that occur in one node only. Those can't be shared, so a
    node needs ceil(0.75 n) others; most nodes of a corpus end here.
 2. Among the remaining nodes the fragments count document frequencies by powers of
-   two. A node's rarest quarter of n-grams is its prefix; linked nodes share an
-   n-gram of both prefixes.
+   two; the global order is by that class, then by fragment. The first quarter of a
+   node's n-grams in it is its prefix; linked nodes share an n-gram of both prefixes.
 3. Nodes that share a prefix n-gram are compared with one hub of its postings, never
    all with all. A pair's overlap is counted separately in every fragment and the
    partial counts are summed; links join components. What is left are pairs across
@@ -190,52 +190,58 @@ def _fragmented(sets: DataFrame, fragments: int) -> DataFrame:
     return sets.select("node", "grams").mapInArrow(send, SEGMENTS)
 
 
+def _places(level: np.ndarray, fragments: int, frag: int) -> np.ndarray:
+    """Where grams stand in the global order: by frequency class, then by fragment, that is, by range of their hashes."""
+    return level * fragments + frag
+
+
 def _cutoffs(sets: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """(node, n, cutoff): a node's prefix are its grams of frequency class 1 to cutoff; nodes that can't link are left out."""
+    """(node, n, cutoff): a node's prefix are its shared grams up to that place; nodes that can't link are left out."""
 
-    def classes(t):
+    def classes(key, t):
         nodes, owner, grams = _gathered(t, wide=True)
         f = _frequencies(grams)
         at = f > 1
         level = np.log2(f[at]).astype(np.int64)
         both, n = np.unique(owner[at] * 64 + level, return_counts=True)
-        return pa.table([pa.array(nodes[both // 64]), pa.array((both % 64).astype(np.int32)), pa.array(n)], ["node", "level", "n"])
+        return pa.table([pa.array(nodes[both // 64]), pa.array(_places(both % 64, fragments, key[0].as_py())), pa.array(n)], ["node", "place", "k"])
 
-    rows = _fragmented(sets, fragments).groupBy("frag").applyInArrow(classes, "node long, level int, n long")
-    levels = rows.groupBy("node", "level").agg(F.sum("n").alias("k"))
-    above = Window.partitionBy("node").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = levels.withColumn("upto", F.sum("k").over(above)).join(sets.select("node", "n").distinct(), "node")
+    rows = _fragmented(sets, fragments).groupBy("frag").applyInArrow(classes, "node long, place long, k long")
+    sizes = sets.select("node", "n").dropDuplicates(["node"])
+    upto = F.sum("k").over(Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = F.sum("k").over(Window.partitionBy("node"))
+    ranked = rows.withColumns({"upto": upto, "shared": shared}).join(sizes, "node")
     need = _need(F.col("n"), percent)
-    found = total.groupBy("node", "n").agg(F.max("upto").alias("shared"), F.min(F.when(F.col("upto") - F.col("k") < need, F.col("level"))).alias("cutoff"))
-    return found.where(F.col("shared") >= need).select("node", "n", "cutoff")
+    # Grams of one node only come first in the order: n - shared of them.
+    enough = F.col("n") - F.col("shared") + F.col("upto") >= F.col("n") - need + 1
+    return ranked.where((F.col("shared") >= need) & enough).groupBy("node", "n").agg(F.min("place").alias("cutoff"))
 
 
 def _postings(sets: DataFrame, cutoffs: DataFrame, fragments: int) -> DataFrame:
     """(gram, node, n) for every prefix gram that two nodes or more have in their prefixes."""
-    # The cutoff travels as the node's first gram would: in a column of its own.
-    marked = sets.select("node", "grams").join(cutoffs, "node", "left").select("node", "grams", F.coalesce("cutoff", F.lit(-1)).alias("cutoff"))
+    marked = sets.select("node", "grams").join(cutoffs, "node", "left").select("node", "grams", F.coalesce("cutoff", F.lit(-1).cast("long")).alias("cutoff"))
 
     def send(batches):
         for batch in batches:
-            level = dict(zip(batch.column("node").to_pylist(), batch.column("cutoff").to_pylist(), strict=True))
+            cutoff = dict(zip(batch.column("node").to_pylist(), batch.column("cutoff").to_pylist(), strict=True))
             grams = batch.column("grams")
             rows = ((node, np.frombuffer(grams[k].as_py(), np.uint64)) for k, node in enumerate(batch.column("node").to_pylist()))
             for out in _sent(rows, fragments, wide=True):
-                own = [np.array([level[n] for n in np.frombuffer(x.as_py(), np.int64).tolist()], np.int8).tobytes() for x in out.column("nodes")]
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(own, pa.binary())], ["frag", "nodes", "counts", "grams", "levels"])
+                own = [np.array([cutoff[n] for n in np.frombuffer(x.as_py(), np.int64).tolist()], np.int64).tobytes() for x in out.column("nodes")]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(own, pa.binary())], ["frag", "nodes", "counts", "grams", "cutoffs"])
 
-    def post(t):
+    def post(key, t):
         nodes, owner, grams = _gathered(t, wide=True)
         every = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("nodes")])
-        levels = np.concatenate([np.frombuffer(x.as_py(), np.int8) for x in t.column("levels")])
+        cutoff = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("cutoffs")])
         _, first = np.unique(every, return_index=True)
         f = _frequencies(grams)
-        at = (f > 1) & (np.log2(f).astype(np.int64) <= levels[first][owner])
+        at = (f > 1) & (_places(np.log2(f).astype(np.int64), fragments, key[0].as_py()) <= cutoff[first][owner])
         owner, grams = owner[at], grams[at]
         at = _frequencies(grams) > 1
         return pa.table([pa.array(grams[at].view(np.int64)), pa.array(nodes[owner[at]])], ["gram", "node"])
 
-    rows = marked.mapInArrow(send, SEGMENTS + ", levels binary").groupBy("frag").applyInArrow(post, "gram long, node long")
+    rows = marked.mapInArrow(send, SEGMENTS + ", cutoffs binary").groupBy("frag").applyInArrow(post, "gram long, node long")
     return rows.join(cutoffs.select("node", "n"), "node").select("gram", "node", "n")
 
 
