@@ -45,7 +45,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """The line hashes with at least ``min_sites`` distinct sites."""
     often = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_n"), F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
     often = often.where((F.col("_n") >= min_sites) & (F.lit(min_sites <= 1) | (F.col("_lo") != F.col("_hi")))).select("_line")
-    candidates = lines.join(often, "_line", "left_semi").select("_line", "_site")
+    # Cut here: a join that an aggregation follows without a shuffle can't be split where a line is hot.
+    candidates = materialise(lines.join(often, "_line", "left_semi").select("_line", "_site"))
     sketched = materialise(candidates.groupBy("_line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", LOG_BUCKETS)).alias("_e")))
     near = F.abs(F.col("_e") - min_sites) <= F.greatest(F.lit(1.0), F.lit(NEAR * min_sites))
     sure = sketched.where(~near & (F.col("_e") >= min_sites)).select("_line")
@@ -58,7 +59,7 @@ def removals(rows: DataFrame, text: str, id_: str, site: str, min_sites: int, mi
     """``_key`` of every document that loses lines, with the array ``_gone`` of their positions from 0."""
     lines = materialise(_lines(rows, text, id_, site, min_chars))
     spread = materialise(boilerplate(lines, min_sites))
-    places = lines.join(spread, "_line")
+    places = materialise(lines.join(spread, "_line"))
     # First place: null ids last, then by id, key and position.
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_pos").alias("p"))
     first = places.groupBy("_line").agg(F.min(order).alias("_first")).select("_line", F.col("_first.k").alias("_k1"), F.col("_first.p").alias("_p1"))
