@@ -7,9 +7,9 @@ Reading takes no record boundary on trust. The text source splits the files at t
 magic, wherever it stands, also inside payloads; the splits are read in parallel and
 the pieces' absolute offsets follow from running totals. Each piece whose header is
 well formed is a candidate: an edge from its offset to that of its successor, which
-the declared length gives. Pointer jumping from offset 0 of every file doubles the
-reach of the known chain in each round; what it doesn't reach is payload and is
-joined back to the record it lies in.
+the declared length gives. Pointer jumping from offset 0 of every file, first within
+the blocks that were read together and then from block to block, doubles its reach in
+each round; what it doesn't reach is payload and is joined back to the record it lies in.
 
 Edge cases: a null html is an empty payload; a null url is left out of the record;
 line breaks in a url are percent-encoded; of equal payloads the largest page_id is
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,17 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 def base32_sha1(payload):
     """Upper-case base32 of the SHA-1: five hexadecimal digits are four base32 digits."""
-    digest = F.sha1(payload)
-    out = []
-    for k in range(8):
-        number = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            out.append(F.substring(F.lit(ALPHABET), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*out)
+
+    def digits(digest):
+        out = []
+        for k in range(8):
+            number = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
+            for shift in (15, 10, 5, 0):
+                out.append(F.substring(F.lit(ALPHABET), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1)))
+        return F.concat(*out)
+
+    # Bound by a lambda, so that the payload is hashed once and not for every digit.
+    return F.transform(F.array(F.sha1(payload)), digits)[0]
 
 
 def with_record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -116,21 +122,70 @@ def payload_of(block):
     return F.substring(block, skip + 1, F.octet_length(block))
 
 
+BLOCK_EDGES = "file string, block long, node long, next long"
+
+
+def _ends(nodes: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Per candidate of one block, sorted by offset, where its chain leaves the block: pointers of doubling length."""
+    at = np.searchsorted(nodes, following)
+    inside = (at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == following) if len(nodes) else np.zeros(0, bool)
+    to, end = np.where(inside, at, np.arange(len(nodes))), following.copy()
+    while True:
+        further = to[to]
+        end = end[to]
+        if (further == to).all():
+            return end
+        to = further
+
+
+def _reachable(nodes: np.ndarray, following: np.ndarray, entered: np.ndarray) -> np.ndarray:
+    """Which candidates of one block the entered ones lead to; marks spread over pointers of doubling length."""
+    at = np.searchsorted(nodes, following)
+    inside = (at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == following)
+    to, mark = np.where(inside, at, np.arange(len(nodes))), entered.copy()
+    while True:
+        mark[to[mark]] = True
+        further = to[to]
+        if (further == to).all():
+            return mark
+        to = further
+
+
 def _chain(candidates: DataFrame) -> DataFrame:
-    """Nodes reachable from offset 0 of their file; each round follows pointers of twice the length."""
-    jump, known = candidates, candidates.select("file", "node")
-    reached = materialise(candidates.where("node = 0").select("file", "node"))
-    n = reached.count()
-    while n:
-        further = reached.join(jump, ["file", "node"]).select("file", F.col("next").alias("node"))
-        reached = materialise(reached.union(further.join(known, ["file", "node"], "left_semi")).distinct())
-        now = reached.count()
+    """(file, node) of the candidates (file, block, node, next) that are reachable from offset 0 of their file.
+
+    Within a block of a file the chains are followed in one task. Between blocks only the
+    candidates that another block's chain lands on matter; pointer jumping over those
+    doubles the number of blocks that are crossed in each round.
+    """
+
+    def leave(t):
+        t = t.sort_by("node")
+        nodes, following = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "next"))
+        return t.set_column(t.schema.get_field_index("next"), "next", pa.array(_ends(nodes, following)))
+
+    def enter(t):
+        t = t.sort_by("node")
+        nodes, following = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "next"))
+        return t.select(["file", "node"]).filter(pa.array(_reachable(nodes, following, t.column("entered").to_numpy(zero_copy_only=False))))
+
+    over = candidates.groupBy("file", "block").applyInArrow(leave, BLOCK_EDGES)
+    over = materialise(over)
+    landed = over.select("file", F.col("next").alias("node")).distinct().join(over.select("file", "node", "next"), ["file", "node"])
+    jump = materialise(over.where("node = 0").select("file", "node", "next").union(landed.where("node > 0")))
+    known, entries = jump.select("file", "node"), jump.where("node = 0").select("file", "node")
+    n = 0
+    while not jump.isEmpty():
+        further = entries.join(jump, ["file", "node"]).select("file", F.col("next").alias("node")).join(known, ["file", "node"], "left_semi")
+        entries = materialise(entries.union(further).distinct())
+        now = entries.count()
         if now == n:
             break
         n = now
         ahead = jump.select("file", F.col("node").alias("next"), F.col("next").alias("_after"))
         jump = materialise(jump.join(ahead, ["file", "next"]).select("file", "node", F.col("_after").alias("next")))
-    return reached
+    flagged = candidates.join(entries.withColumn("_e", F.lit(True)), ["file", "node"], "left").withColumn("entered", F.coalesce("_e", F.lit(False))).drop("_e")
+    return materialise(flagged.select("file", "block", "node", "next", "entered").groupBy("file", "block").applyInArrow(enter, "file string, node long"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +202,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     nodes = nodes.withColumn("node", F.col("start") + F.col("_local") - len(MAGIC)).withColumn("at", F.col("seq") - F.col("first"))
     nodes = materialise(nodes.drop("start", "first", "_local").where("node >= 0"))
     ends = F.col("node") + len(MAGIC) + F.col("body") + F.col("length") + len(EMPTY_LINE)
-    reached = _chain(nodes.where("length is not null and kind <> ''").select("file", "node", ends.alias("next")))
+    reached = _chain(nodes.where("length is not null and kind <> ''").select("file", "block", "node", ends.alias("next")))
     found = nodes.join(reached, ["file", "node"], "left_semi")
     out = found.where("whole").select("file", "node", "head", "kind", "digest")
     split = found.where("not whole").select("file", "node", (F.col("node") + len(MAGIC) + F.col("body") + F.col("length") + len(EMPTY_LINE)).alias("next"), "head", "kind", "body", "length")
