@@ -99,7 +99,8 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = at[lo]
         first, last = (at - lo).astype(np.uint64), (at - hi).astype(np.uint64)
         stretch = _finish((sums[hi + MATCH] - sums[lo]) * down[lo] + first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(0x165667B19E3779F9))
-        out.append((h[at], stretch, (at + base) << 14 | (first.astype(np.int64) << 7) | last.astype(np.int64)))
+        # Least hashes are small; mixed once more they spread evenly over the fragments again.
+        out.append((_finish(h[at] * np.uint64(0xD6E8FEB86659FD93)), stretch, (at + base) << 14 | (first.astype(np.int64) << 7) | last.astype(np.int64)))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -144,7 +145,7 @@ def _repeated_anchors(texts: DataFrame, fragments: int) -> DataFrame:
         at = _frequencies(grams) > 1
         owner, ids = owner[at], (np.int64(key[0].as_py()) << 32) | grams[at].astype(np.int64)
         cuts = np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0] if len(owner) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(owner))
+        ends = np.append(cuts[1:], len(owner)) if len(owner) else cuts
         blobs = [ids[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
         return pa.table([pa.array(nodes[owner[cuts]]), pa.array(blobs, pa.binary())], ["key", "ids"])
 
