@@ -10,11 +10,11 @@ of an n-gram are complete within its fragment:
 2. Among the remaining nodes the fragments count document frequencies by powers of
    two; the global order is by that class, then by fragment. The first quarter of a
    node's n-grams in it is its prefix; linked nodes share an n-gram of both prefixes.
-3. Nodes that share a prefix n-gram are compared with one hub of its postings, never
+3. Nodes that share a prefix n-gram are compared with a few hubs of their postings, not
    all with all. A pair's overlap is counted separately in every fragment and the
    partial counts are summed; links join components. What is left are pairs across
-   different components with a common prefix n-gram; when few nodes still find new
-   partners through hubs, all of those pairs are counted.
+   different components with a common prefix n-gram; as soon as these are few for
+   each posting, or after the last round, all of them are counted.
 
 A pair is skipped only when it is already in one component, fails the length bound
 or shares no prefix n-gram, so the components are exactly those of all links.
@@ -45,7 +45,11 @@ PERCENT = 75
 FRAGMENT_SHINGLES = 2_500_000
 #: Shingles that a task collects before it sends segments.
 FLUSH = 1_500_000
+#: Rounds through hubs at most, and hubs that a node is compared with in a round.
 STAR_ROUNDS = 4
+HUBS = 3
+#: All remaining pairs are counted as soon as the postings hold no more than so many for each of them.
+PAIRS_PER_POSTING = 4
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -305,7 +309,7 @@ def _close(percent: int):
 
 
 def _proposals(known: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
-    """For each node the hub, of another component, that it shares most prefix grams with."""
+    """For each node the few hubs, of other components, that it shares most prefix grams with."""
     ends = known.groupBy("gram").agg(F.min(F.struct("comp", "node", "n")).alias("lo"), F.max(F.struct("comp", "node", "n")).alias("hi"))
     other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).when(F.col("comp") != F.col("hi.comp"), F.col("hi"))
     met = known.join(ends, "gram").withColumn("hub", other).select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
@@ -313,8 +317,15 @@ def _proposals(known: DataFrame, tried: DataFrame | None, percent: int) -> DataF
     votes = votes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "node", "votes")
     if tried is not None:
         votes = votes.join(tried, ["a", "b"], "left_anti")
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+    # A node has no more hubs than prefix grams, so neither this window nor its partitions grow with the corpus.
+    best = Window.partitionBy("node").orderBy(F.desc("votes"), "a", "b")
+    return votes.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= HUBS).select("a", "b").distinct()
+
+
+def _pairs_left(known: DataFrame) -> int:
+    """How many pairs across components the postings hold, from counts alone."""
+    sizes = known.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    return sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
 
 
 def _all_pairs(known: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
@@ -353,21 +364,22 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
     sets = materialise(sets.join(alive.select("node"), "node", "left_semi"))
     cutoffs = materialise(_cutoffs(sets, fragments, percent))
     postings = materialise(_postings(sets, cutoffs, fragments))
+    total_postings = postings.count()
     links = labels = tried = None
     for round_ in range(STAR_ROUNDS + 1):
         known = _across(postings, labels)
         if round_:
             known = materialise(known)
-        last = round_ == STAR_ROUNDS
+        last = round_ == STAR_ROUNDS or round_ > 0 and _pairs_left(known) <= PAIRS_PER_POSTING * total_postings
         pairs = materialise((_all_pairs if last else _proposals)(known, tried, percent))
-        n = pairs.count()
-        if not n and not last:
+        if not pairs.isEmpty():
+            new = materialise(_links(sets, pairs, cutoffs, fragments, percent))
+            tried = pairs if tried is None else tried.union(pairs)
+            if not new.isEmpty():
+                links = new if links is None else links.union(new)
+                labels = components(links)
+        if last:
             break
-        new = materialise(_links(sets, pairs, cutoffs, fragments, percent)) if n else None
-        tried = pairs if tried is None else tried.union(pairs)
-        if new is not None and not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(links)
         postings = known.select("gram", "node", "n")
     return labels
 
