@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
+#: Links that one partition should hold.
+PART_ROWS = 25_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of the links (a, b); comp is the smallest node that is reachable.
@@ -16,12 +19,15 @@ def components(links: DataFrame) -> DataFrame:
     pre-aggregated minima: a node with very many links is split like any skewed key.
     """
     edges = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    # As many partitions as the links need: a round over few links should not write many files.
+    parts = max(1, -(-edges.count() // PART_ROWS))
+    edges = edges.coalesce(parts)
+    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")).coalesce(parts))
     while True:
         offered = edges.join(labels, edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("m"))
         near = labels.join(offered, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         own = near.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        moved = materialise(near.join(own, "comp").select("node", "old", F.least("comp", "up").alias("comp")))
+        moved = materialise(near.join(own, "comp").select("node", "old", F.least("comp", "up").alias("comp")).coalesce(parts))
         labels = moved.select("node", "comp")
         if moved.where("old <> comp").isEmpty():
             return labels

@@ -35,14 +35,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import masked, materialise, partitions, table
+from tessera.llm.common import masked, materialise, table
 from tessera.llm.components import components
 from tessera.llm.rules import MIX, _finish, word_hashes
 
 WIDTH = 5
 PERCENT = 75
-#: Shingles that one fragment should hold, on average.
-FRAGMENT_SHINGLES = 2_500_000
+#: Shingles that one fragment should hold, on average, and the least numbers of fragments of a
+#: corpus and of the sets that remain. Fragments follow the data, not the cluster: a node has
+#: an entry in each, so more of them would be more rows without more data.
+FRAGMENT_SHINGLES = 5_000_000
+LEAST_FRAGMENTS, LEAST_LEFT = 32, 16
+#: Rows of an intermediate table that one partition should hold.
+PART_ROWS = 25_000
 #: Shingles that a task collects before it sends segments.
 FLUSH = 1_500_000
 #: Rounds through hubs at most, and hubs that a node is compared with in a round.
@@ -341,14 +346,14 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
     spark = docs.sparkSession
     per_node = marks.where("_node is not null").groupBy(F.col("_node").alias("node")).agg(F.max("_n").alias("n"), F.min(key).alias("_doc"))
     total = marks.agg(F.sum("_n")).first()[0] or 0
-    width = lambda k: max(partitions(spark), math.ceil(k / FRAGMENT_SHINGLES))
-    shared = shared_counts(docs, text, width(total))
+    shared = shared_counts(docs, text, max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT_SHINGLES)))
     alive = per_node.join(shared, "node").where(F.col("shared") >= _need(F.col("n"), percent)).select("node", "n", "_doc")
     alive = materialise(alive)
-    left = alive.agg(F.sum("n")).first()[0]
+    left, nodes = alive.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not left:
         return None
-    fragments = width(left)
+    fragments = max(LEAST_LEFT, math.ceil(left / FRAGMENT_SHINGLES))
+    few = lambda rows: max(1, math.ceil(rows / PART_ROWS))
     wanted = alive.select(F.col("_doc").alias(key)).distinct()
     again = docs.select(F.col(key), F.col(text)).join(wanted.withColumnRenamed(key, "_want"), F.col(key).eqNullSafe(F.col("_want")), "left_semi")
     source = again.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_utf8"))
@@ -362,18 +367,18 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
 
     sets = source.mapInArrow(rebuild, "node long, n long, grams binary").where("node is not null")
     sets = materialise(sets.join(alive.select("node"), "node", "left_semi"))
-    cutoffs = materialise(_cutoffs(sets, fragments, percent))
+    cutoffs = materialise(_cutoffs(sets, fragments, percent).coalesce(few(nodes)))
     postings = materialise(_postings(sets, cutoffs, fragments))
     total_postings = postings.count()
     links = labels = tried = None
     for round_ in range(STAR_ROUNDS + 1):
         known = _across(postings, labels)
         if round_:
-            known = materialise(known)
+            known = materialise(known.coalesce(few(total_postings)))
         last = round_ == STAR_ROUNDS or round_ > 0 and _pairs_left(known) <= PAIRS_PER_POSTING * total_postings
-        pairs = materialise((_all_pairs if last else _proposals)(known, tried, percent))
+        pairs = materialise((_all_pairs if last else _proposals)(known, tried, percent).coalesce(few((HUBS if not last else 2 * HUBS) * nodes)))
         if not pairs.isEmpty():
-            new = materialise(_links(sets, pairs, cutoffs, fragments, percent))
+            new = materialise(_links(sets, pairs, cutoffs, fragments, percent).coalesce(few(HUBS * nodes)))
             tried = pairs if tried is None else tried.union(pairs)
             if not new.isEmpty():
                 links = new if links is None else links.union(new)
