@@ -3,41 +3,12 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, does the session get a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+from tessera.session import materialise, partitions, scratch, table  # noqa: F401
 
 
 def utf8(column: str = "text"):
