@@ -34,9 +34,17 @@ def scratch(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    A checkpointed frame keeps the size estimate of the plan it replaces, and the estimate
+    of a join is a product: over the rounds of a loop it grows to millions of digits that
+    the driver then multiplies. The frame that is returned is built afresh on the
+    checkpointed rows and has no estimate of its own.
+    """
+    spark = df.sparkSession
+    scratch(spark)
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:
