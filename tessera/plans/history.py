@@ -174,6 +174,10 @@ def dependency_downgrade(spark, sf_dir):
     return D.downgraded(modes, part.where(k > 0).select(k.alias("node"), F.floor(k / 2).alias("needs")))
 
 
+def _axis_links(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 n AS (SELECT DISTINCT a AS node FROM s), w AS (SELECT node, node AS other FROM n UNION SELECT w.node, s.b FROM w JOIN s ON s.a = w.other)
@@ -181,8 +185,13 @@ SELECT node, min(other) AS comp FROM w GROUP BY node
 """)
 def axis_components(spark, sf_dir):
     """Components of a bipartite graph of axes (orders) and groups (parts)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 and l_linenumber = 1")
-    return G.components(lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
+    return G.components(_axis_links(table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 and l_linenumber = 1")))
+
+
+@query()
+def axis_components_whole(spark, sf_dir):
+    """The same over every line; the SQL above lists all node pairs of a component, too many for the whole graph."""
+    return G.components(_axis_links(table(spark, sf_dir, "lineitem")))
 
 
 DELTAS = ", d AS (SELECT node AS commit, CASE WHEN node % 29 = 3 THEN lead(node) OVER (ORDER BY node) ELSE CASE WHEN pos = 1 THEN root ELSE l2 END END AS base FROM c WHERE pos >= 1) "
