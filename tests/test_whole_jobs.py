@@ -1,7 +1,9 @@
 """Queries over whole tables against brute force, where the SQL of a query covers a part of its input."""
 
 import duckdb
+import pytest
 
+from tessera.functions import residual as R
 from tessera.plans.catalogue import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +32,15 @@ def test_axis_components_of_every_line(spark, tmp_path):
     links = duckdb.sql(f"SELECT l_orderkey, -1 - l_partkey FROM '{DATA}/lineitem.parquet'").fetchall()
     found = {r["node"]: r["comp"] for r in QUERIES["axis_components_whole"](spark, DATA).collect()}
     assert found == brute_components(links)
+
+
+@pytest.mark.parametrize("transform", ["byteplane", "bitshuffle"])
+def test_residual_roundtrip_sees_the_end_of_a_text(spark, tmp_path, monkeypatch, transform):
+    texts = ["", "short", "é" * 50, "x" * 64, "the last byte of a longer text counts as well " * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda: {(r["doc_id"], r["transform"]): r["same"] for r in QUERIES["residual_roundtrip"](spark, str(tmp_path)).collect()}
+    assert len(run()) == 3 * len(texts) and all(run().values())
+    apply, undo = R.TRANSFORMS[transform]
+    # Loses the last byte of what isn't a multiple of 64 bytes.
+    monkeypatch.setitem(R.TRANSFORMS, transform, (apply, lambda raw, width: undo(raw, width) if len(raw) % 64 == 0 else undo(raw, width)[:-1] + b"?"))
+    assert {k for k, same in run().items() if not same} == {(i, transform) for i, t in enumerate(texts) if len(t.encode()) % 64}
