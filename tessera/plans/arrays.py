@@ -55,6 +55,16 @@ def dependency_runs(spark, sf_dir):
     return Q.islands(p.where("i between 20 and 80").select("j"), "j")
 
 
+@query(PERM + """, d AS (SELECT DISTINCT i // 64 AS slice, j AS k FROM p), r AS (SELECT slice, k, k - row_number() OVER (PARTITION BY slice ORDER BY k) AS g FROM d)
+SELECT slice, min(k) AS first, count(*)::BIGINT AS count FROM r GROUP BY slice, g""")
+def dependency_runs_by_slice(spark, sf_dir):
+    """The same for every slice of 64 units of the target."""
+    p, n = permutation(spark, sf_dir)
+    # Base units lie below n, so keys of different slices are never consecutive.
+    runs = Q.islands(p.select((F.floor(F.col("i") / 64) * (n + 1) + F.col("j")).alias("k")), "k")
+    return runs.select(F.floor(F.col("first") / (n + 1)).alias("slice"), (F.col("first") % (n + 1)).alias("first"), "count")
+
+
 @query("""
 WITH n AS (SELECT count(*) AS n FROM orders)
 SELECT t.o_orderkey AS i, b.o_orderkey AS j, b.o_totalprice AS price FROM orders t JOIN n ON true JOIN orders b ON b.o_orderkey = (t.o_orderkey * 7 + 3) % n

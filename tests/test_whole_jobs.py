@@ -44,3 +44,15 @@ def test_residual_roundtrip_sees_the_end_of_a_text(spark, tmp_path, monkeypatch,
     # Loses the last byte of what isn't a multiple of 64 bytes.
     monkeypatch.setitem(R.TRANSFORMS, transform, (apply, lambda raw, width: undo(raw, width) if len(raw) % 64 == 0 else undo(raw, width)[:-1] + b"?"))
     assert {k for k, same in run().items() if not same} == {(i, transform) for i, t in enumerate(texts) if len(t.encode()) % 64}
+
+
+def test_dependency_runs_of_every_slice(spark, tmp_path):
+    n = 400
+    spark.range(n).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    found = {(r["slice"], r["first"], r["count"]) for r in QUERIES["dependency_runs_by_slice"](spark, str(tmp_path)).collect()}
+    want = set()
+    for k in range(0, n, 64):
+        units = {(i * 7 + 3) % n for i in range(k, min(k + 64, n))}
+        for u in (u for u in units if u - 1 not in units):
+            want.add((k // 64, u, next(m for m in range(1, n + 1) if u + m not in units)))
+    assert found == want and sum(c for _, _, c in found) == n
