@@ -89,27 +89,48 @@ def log_newest_first(spark, sf_dir):
 REACHABLE = COMMITS + ", tips AS (SELECT node FROM c JOIN orders ON o_orderkey = node WHERE o_orderstatus = 'O' AND node % 4 = 0), r AS (SELECT DISTINCT ancestor AS node FROM cl WHERE node IN (SELECT node FROM tips)), parts AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_orderkey IN (SELECT node FROM r)) "
 
 
-def _reached(spark, sf_dir) -> DataFrame:
+#: The same from every open order.
+REACHABLE_ALL = REACHABLE.replace(" AND node % 4 = 0", "")
+
+
+def _reached(spark, sf_dir, tips: str = "o_orderstatus = 'O' and node % 4 = 0") -> DataFrame:
     found = commits(spark, sf_dir)
-    return G.reachable(parents(found), found.where("o_orderstatus = 'O' and node % 4 = 0").select("node"))
+    return G.reachable(parents(found), found.where(tips).select("node"))
 
 
-@query(REACHABLE + "SELECT 'commit' AS kind, node AS object FROM r UNION ALL SELECT 'raw', part FROM parts")
-def reachable_objects(spark, sf_dir):
-    """Commits reachable from the tips and the parts that their lines refer to."""
-    reached = _reached(spark, sf_dir)
+def _reached_objects(spark, sf_dir, reached: DataFrame) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("object"))
     parts = lines.join(reached, "node", "left_semi").select("object").distinct()
     return reached.select(F.lit("commit").alias("kind"), F.col("node").alias("object")).union(parts.select(F.lit("raw"), "object"))
 
 
-@query(REACHABLE + "SELECT p_partkey AS object, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT part FROM parts)")
-def gc_prune(spark, sf_dir):
+def _pruned(spark, sf_dir, reached: DataFrame) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("object"))
-    live = lines.join(_reached(spark, sf_dir), "node", "left_semi").select("object").distinct()
+    live = lines.join(reached, "node", "left_semi").select("object").distinct()
     return T.collectable(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object"), F.col("p_size").alias("size")), live, "object")
 
 
+@query(REACHABLE + "SELECT 'commit' AS kind, node AS object FROM r UNION ALL SELECT 'raw', part FROM parts")
+def reachable_objects(spark, sf_dir):
+    """Commits reachable from the tips and the parts that their lines refer to."""
+    return _reached_objects(spark, sf_dir, _reached(spark, sf_dir))
+
+
+@query(REACHABLE_ALL + "SELECT 'commit' AS kind, node AS object FROM r UNION ALL SELECT 'raw', part FROM parts")
+def reachable_objects_all_tips(spark, sf_dir):
+    return _reached_objects(spark, sf_dir, _reached(spark, sf_dir, "o_orderstatus = 'O'"))
+
+
+@query(REACHABLE + "SELECT p_partkey AS object, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT part FROM parts)")
+def gc_prune(spark, sf_dir):
+    return _pruned(spark, sf_dir, _reached(spark, sf_dir))
+
+
+@query(REACHABLE_ALL + "SELECT p_partkey AS object, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT part FROM parts)")
+def gc_prune_all_tips(spark, sf_dir):
+    return _pruned(spark, sf_dir, _reached(spark, sf_dir, "o_orderstatus = 'O'"))
+
+
 SIDES = """
 WITH base AS (SELECT c_custkey AS k, round(c_acctbal * 100)::BIGINT AS v FROM customer WHERE c_custkey % 17 <> 0),
 ours AS (SELECT c_custkey AS k, round(c_acctbal * 100)::BIGINT + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 11 <> 0),

@@ -56,3 +56,17 @@ def test_dependency_runs_of_every_slice(spark, tmp_path):
         for u in (u for u in units if u - 1 not in units):
             want.add((k // 64, u, next(m for m in range(1, n + 1) if u + m not in units)))
     assert found == want and sum(c for _, _, c in found) == n
+
+
+def test_reachable_objects_from_every_open_order(spark, tmp_path):
+    # Each order is its customer's only one; the open ones are no multiples of 4.
+    for name, rows, columns in (
+        ("orders", [(1, 1, "O"), (2, 2, "O"), (3, 3, "F"), (5, 4, "P")], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        ("lineitem", [(1, 10), (2, 11), (3, 12), (5, 13)], "l_orderkey long, l_partkey long"),
+        ("part", [(k, k) for k in range(10, 15)], "p_partkey long, p_size int"),
+    ):
+        frame = spark.createDataFrame(rows, columns)
+        (frame.selectExpr("*", "current_date() AS o_orderdate") if name == "orders" else frame).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = {tuple(r) for r in QUERIES["reachable_objects_all_tips"](spark, str(tmp_path)).collect()}
+    assert found == {("commit", 1), ("commit", 2), ("raw", 10), ("raw", 11)}
+    assert {r["object"] for r in QUERIES["gc_prune_all_tips"](spark, str(tmp_path)).collect()} == {12, 13, 14}
