@@ -8,53 +8,60 @@ from pyspark.sql import functions as F
 from tessera.session import materialise
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, part_rows: int | None = None) -> DataFrame:
     """(node, comp) for every node of the links (a, b); comp is the smallest node that is reachable.
 
     Each round takes the smallest label among neighbours and then that label's own
     label, so the distance a label travels doubles. Minima are aggregated before they
     are shuffled and both joins can be split by the optimiser where a node has very many links.
+    With ``part_rows`` the tables of a round have one partition for so many links, so that
+    few links don't make many files.
     """
-    edges = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = materialise(edges)
+    parts = max(1, -(-edges.count() // part_rows)) if part_rows else None
+    fit = (lambda df: df.coalesce(parts)) if parts else (lambda df: df)
+    edges = fit(edges)
+    labels = materialise(fit(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))))
     while True:
         offered = edges.join(labels, edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("m"))
         near = labels.join(offered, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         own = near.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        moved = materialise(near.join(own, "comp").select("node", "old", F.least("comp", "up").alias("comp")))
+        moved = materialise(fit(near.join(own, "comp").select("node", "old", F.least("comp", "up").alias("comp"))))
         labels = moved.select("node", "comp")
         if moved.where("old <> comp").isEmpty():
             return labels
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
+def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, distance) of the edges (child, parent), each node its own at 0; distance is the shortest.
 
-    A round joins the pairs found last with the edges; a pair that is already known
-    never enters the next round, so merges don't multiply paths.
+    With ``of`` only the ancestors of those nodes are followed. A round joins the pairs
+    found last with the edges; a pair that is already known never enters the next round, so
+    merges don't multiply paths, and what earlier rounds found is not written again.
     """
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
-    found = materialise(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
-    front, step = found, 0
+    if of is None:
+        of = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node")))
+    front = materialise(of.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
+    found, step = front, 0
     while True:
         step += 1
         reached = front.join(edges, front.ancestor == edges.child).select("node", F.col("parent").alias("ancestor")).distinct()
         front = materialise(reached.join(found, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(step)))
         if front.isEmpty():
             return found
-        found = materialise(found.union(front))
+        found = found.union(front)
 
 
 def reachable(edges: DataFrame, tips: DataFrame) -> DataFrame:
     """Distinct nodes reachable from the tips (node), tips included."""
-    found = materialise(tips.select("node").distinct())
-    front = found
+    front = found = materialise(tips.select("node").distinct())
     while True:
         step = front.join(edges, front.node == edges.child).select(F.col("parent").alias("node")).distinct()
         front = materialise(step.join(found, "node", "left_anti"))
         if front.isEmpty():
             return found
-        found = materialise(found.union(front))
+        found = found.union(front)
 
 
 def merge_bases(closure: DataFrame, pairs: DataFrame) -> DataFrame:

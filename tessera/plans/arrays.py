@@ -47,18 +47,10 @@ def unit_runs(spark, sf_dir):
     return Q.islands(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey")
 
 
-@query(PERM + """, d AS (SELECT DISTINCT j AS k FROM p WHERE i BETWEEN 20 AND 80), r AS (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM d)
-SELECT min(k) AS first, count(*)::BIGINT AS count FROM r GROUP BY g""")
-def dependency_runs(spark, sf_dir):
-    """Runs of base units that a slice of the target reads."""
-    p, _ = permutation(spark, sf_dir)
-    return Q.islands(p.where("i between 20 and 80").select("j"), "j")
-
-
 @query(PERM + """, d AS (SELECT DISTINCT i // 64 AS slice, j AS k FROM p), r AS (SELECT slice, k, k - row_number() OVER (PARTITION BY slice ORDER BY k) AS g FROM d)
 SELECT slice, min(k) AS first, count(*)::BIGINT AS count FROM r GROUP BY slice, g""")
-def dependency_runs_by_slice(spark, sf_dir):
-    """The same for every slice of 64 units of the target."""
+def dependency_runs(spark, sf_dir):
+    """Runs of base units that each slice of 64 units of the target reads."""
     p, n = permutation(spark, sf_dir)
     # Base units lie below n, so keys of different slices are never consecutive.
     runs = Q.islands(p.select((F.floor(F.col("i") / 64) * (n + 1) + F.col("j")).alias("k")), "k")

@@ -14,7 +14,7 @@ from tessera.operators import decisions as D
 from tessera.operators import graph as G
 from tessera.operators import store as T
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import materialise, table
 
 COMMITS = """
 WITH RECURSIVE c AS (
@@ -55,7 +55,8 @@ def is_ancestor(spark, sf_dir):
     """Whether the commit three before a commit, by key, is one of its ancestors."""
     found = commits(spark, sf_dir)
     pairs = found.select(F.col("node").alias("a"), G.previous_in(found, "cust", "node", "node", 3).alias("b")).where("b is not null")
-    closure = G.ancestors(parents(found)).select(F.col("node").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("_y"))
+    pairs = materialise(pairs)
+    closure = G.ancestors(materialise(parents(found)), pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("_y"))
     return pairs.join(closure, ["a", "b"], "left").select("a", "b", F.coalesce("_y", F.lit(False)).alias("is_ancestor"))
 
 
@@ -67,8 +68,9 @@ def merge_base(spark, sf_dir):
     """Nearest common ancestor of each customer's last two commits."""
     found = commits(spark, sf_dir)
     before = found.select("cust", F.col("node").alias("ours"), G.previous_in(found, "cust", "node", "node").alias("theirs"), F.lead("node").over(Window.partitionBy("cust").orderBy("node")).alias("_next"))
-    pairs = before.where("theirs is not null and _next is null").select("ours", "theirs")
-    return G.merge_bases(G.ancestors(parents(found)), pairs)
+    pairs = materialise(before.where("theirs is not null and _next is null").select("ours", "theirs"))
+    asked = pairs.select(F.col("ours").alias("node")).union(pairs.select(F.col("theirs").alias("node")))
+    return G.merge_bases(G.ancestors(materialise(parents(found)), asked), pairs)
 
 
 @query(COMMITS + """, f AS (SELECT node, node AS ancestor, 0 AS distance FROM c UNION ALL SELECT f.node, e.parent, f.distance + 1 FROM f JOIN e ON f.ancestor = e.child AND e.k = 1)
@@ -77,8 +79,8 @@ def first_parent_probe(spark, sf_dir):
     """Each customer's tip and its first-parent ancestors at 1, 3, 7, ... steps."""
     found = commits(spark, sf_dir)
     tips = found.groupBy("cust").agg(F.max("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    chain = G.ancestors(found.where("p1 is not null").select(F.col("node").alias("child"), F.col("p1").alias("parent")))
-    return G.probe_depths(chain.join(tips, "node", "left_semi"))
+    first = materialise(found.where("p1 is not null").select(F.col("node").alias("child"), F.col("p1").alias("parent")))
+    return G.probe_depths(G.ancestors(first, tips))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
@@ -86,16 +88,12 @@ def log_newest_first(spark, sf_dir):
     return G.newest_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 100)
 
 
-REACHABLE = COMMITS + ", tips AS (SELECT node FROM c JOIN orders ON o_orderkey = node WHERE o_orderstatus = 'O' AND node % 4 = 0), r AS (SELECT DISTINCT ancestor AS node FROM cl WHERE node IN (SELECT node FROM tips)), parts AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_orderkey IN (SELECT node FROM r)) "
+REACHABLE = COMMITS + ", tips AS (SELECT node FROM c JOIN orders ON o_orderkey = node WHERE o_orderstatus = 'O'), r AS (SELECT DISTINCT ancestor AS node FROM cl WHERE node IN (SELECT node FROM tips)), parts AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_orderkey IN (SELECT node FROM r)) "
 
 
-#: The same from every open order.
-REACHABLE_ALL = REACHABLE.replace(" AND node % 4 = 0", "")
-
-
-def _reached(spark, sf_dir, tips: str = "o_orderstatus = 'O' and node % 4 = 0") -> DataFrame:
-    found = commits(spark, sf_dir)
-    return G.reachable(parents(found), found.where(tips).select("node"))
+def _reached(spark, sf_dir) -> DataFrame:
+    found = materialise(commits(spark, sf_dir))
+    return G.reachable(materialise(parents(found)), found.where("o_orderstatus = 'O'").select("node"))
 
 
 def _reached_objects(spark, sf_dir, reached: DataFrame) -> DataFrame:
@@ -104,31 +102,20 @@ def _reached_objects(spark, sf_dir, reached: DataFrame) -> DataFrame:
     return reached.select(F.lit("commit").alias("kind"), F.col("node").alias("object")).union(parts.select(F.lit("raw"), "object"))
 
 
-def _pruned(spark, sf_dir, reached: DataFrame) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("object"))
-    live = lines.join(reached, "node", "left_semi").select("object").distinct()
-    return T.collectable(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object"), F.col("p_size").alias("size")), live, "object")
-
-
 @query(REACHABLE + "SELECT 'commit' AS kind, node AS object FROM r UNION ALL SELECT 'raw', part FROM parts")
 def reachable_objects(spark, sf_dir):
     """Commits reachable from the tips and the parts that their lines refer to."""
     return _reached_objects(spark, sf_dir, _reached(spark, sf_dir))
 
 
-@query(REACHABLE_ALL + "SELECT 'commit' AS kind, node AS object FROM r UNION ALL SELECT 'raw', part FROM parts")
-def reachable_objects_all_tips(spark, sf_dir):
-    return _reached_objects(spark, sf_dir, _reached(spark, sf_dir, "o_orderstatus = 'O'"))
-
-
-@query(REACHABLE + "SELECT p_partkey AS object, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT part FROM parts)")
+@query(REACHABLE + """SELECT 'commit' AS kind, o_orderkey AS object, 0 AS size FROM orders WHERE o_orderkey NOT IN (SELECT node FROM r)
+UNION ALL SELECT 'raw', p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT part FROM parts)""")
 def gc_prune(spark, sf_dir):
-    return _pruned(spark, sf_dir, _reached(spark, sf_dir))
-
-
-@query(REACHABLE_ALL + "SELECT p_partkey AS object, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT part FROM parts)")
-def gc_prune_all_tips(spark, sf_dir):
-    return _pruned(spark, sf_dir, _reached(spark, sf_dir, "o_orderstatus = 'O'"))
+    """Commits that no open order reaches, and parts that only their lines refer to."""
+    live = materialise(_reached_objects(spark, sf_dir, _reached(spark, sf_dir)))
+    commits_ = table(spark, sf_dir, "orders").select(F.lit("commit").alias("kind"), F.col("o_orderkey").alias("object"), F.lit(0).alias("size"))
+    stored = commits_.union(table(spark, sf_dir, "part").select(F.lit("raw"), F.col("p_partkey"), F.col("p_size")))
+    return T.collectable(stored, live, ["kind", "object"])
 
 
 SIDES = """
@@ -199,19 +186,12 @@ def _axis_links(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-n AS (SELECT DISTINCT a AS node FROM s), w AS (SELECT node, node AS other FROM n UNION SELECT w.node, s.b FROM w JOIN s ON s.a = w.other)
-SELECT node, min(other) AS comp FROM w GROUP BY node
-""")
+@query()
 def axis_components(spark, sf_dir):
-    """Components of a bipartite graph of axes (orders) and groups (parts)."""
-    return G.components(_axis_links(table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 and l_linenumber = 1")))
-
+    """Components of a bipartite graph of axes (orders) and groups (parts), over every line.
 
-@query()
-def axis_components_whole(spark, sf_dir):
-    """The same over every line; the SQL above lists all node pairs of a component, too many for the whole graph."""
+    SQL would list all pairs of a component that holds nearly every node; the tests compare with union-find.
+    """
     return G.components(_axis_links(table(spark, sf_dir, "lineitem")))
 
 
@@ -231,18 +211,19 @@ def _deltas(found: DataFrame) -> DataFrame:
 @query(COMMITS + DELTAS + "SELECT commit, base FROM d WHERE base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.node = d.commit AND cl.ancestor = d.base)")
 def ancestor_invariant(spark, sf_dir):
     found = commits(spark, sf_dir)
-    return D.not_ancestors(_deltas(found), G.ancestors(parents(found)))
+    deltas = materialise(_deltas(found))
+    return D.not_ancestors(deltas, G.ancestors(materialise(parents(found)), deltas.select(F.col("commit").alias("node"))))
 
 
 @query(COMMITS + DELTAS + """
-SELECT 'AncestorViolation' AS kind, commit AS object FROM d WHERE base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.node = d.commit AND cl.ancestor = d.base)
+SELECT 'AncestorInvariantViolated' AS kind, commit AS object FROM d WHERE base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.node = d.commit AND cl.ancestor = d.base)
 UNION ALL SELECT 'MissingObject', l_orderkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_partkey % 53 = 11
 UNION ALL SELECT 'DepthMismatch', child FROM (SELECT e.child, x.pos // 2 + CASE WHEN x.node % 31 = 7 THEN 1 ELSE 0 END AS depth, y.pos // 2 + CASE WHEN y.node % 31 = 7 THEN 1 ELSE 0 END AS base_depth, x.pos AS p FROM e JOIN c x ON x.node = e.child JOIN c y ON y.node = e.parent WHERE k = 1) WHERE depth <> base_depth + 1 AND p >= 2
 """)
 def verify_findings(spark, sf_dir):
     """Broken ancestor bases, references to objects that aren't stored, and chain depths that don't follow their base."""
     found = commits(spark, sf_dir)
-    wrong = ancestor_invariant(spark, sf_dir).select(F.lit("AncestorViolation").alias("kind"), F.col("commit").alias("object"))
+    wrong = ancestor_invariant(spark, sf_dir).select(F.lit("AncestorInvariantViolated").alias("kind"), F.col("commit").alias("object"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object"), F.col("l_partkey").alias("part")).distinct()
     stored = table(spark, sf_dir, "part").where("p_partkey % 53 <> 11").select(F.col("p_partkey").alias("part"))
     lost = T.missing(lines, stored, "part").select(F.lit("MissingObject"), "object")
