@@ -99,13 +99,18 @@ def oid_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", H.parse_id(given).alias("parsed"), H.id_from_path(path).alias("from_path"))
 
 
-@query("""
-WITH m AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'DigestMismatch' WHEN 'click' THEN 'MergeConflict' WHEN 'view' THEN 'Network' WHEN 'signup' THEN 'Other' END AS kind FROM events)
-SELECT event_id, kind, CASE WHEN kind IS NULL THEN 0 WHEN kind = 'DigestMismatch' THEN 4 WHEN kind = 'MergeConflict' THEN 5 WHEN kind = 'Network' THEN 8 ELSE 1 END AS code, coalesce(kind = 'DigestMismatch', false) AS integrity FROM m
+KINDS = ["HashMismatch", "MergeConflict", "JournalTorn", "ConnectionLost", "ChunkDigestMismatch", "ChainTooDeep", "NotARepository", "FrameDigestMismatch", "PeerError", "AncestorInvariantViolated", "RepositoryLocked", "Cancelled", "MalformedFrame", "NotImplemented", "ProtocolVersion", "ObjectNotFound"]
+
+
+@query(f"""
+WITH m AS (SELECT event_id, CASE WHEN event_id % 17 < 16 THEN ({KINDS})[event_id % 17 + 1] END AS kind FROM events),
+i AS (SELECT *, coalesce(kind IN ('HashMismatch', 'ChunkDigestMismatch', 'FrameDigestMismatch', 'AncestorInvariantViolated', 'JournalTorn'), false) AS integrity FROM m)
+SELECT event_id, kind, CASE WHEN kind IS NULL THEN 0 WHEN integrity THEN 4 WHEN kind = 'NotARepository' THEN 3 WHEN kind = 'MergeConflict' THEN 5 WHEN kind = 'RepositoryLocked' THEN 6
+  WHEN kind = 'NotImplemented' THEN 7 WHEN kind IN ('ProtocolVersion', 'MalformedFrame', 'ConnectionLost', 'PeerError') THEN 8 ELSE 1 END AS code, integrity FROM i
 """)
 def exit_code_map(spark, sf_dir):
-    e = F.col("event_type")
-    kind = F.when(e == "error", "DigestMismatch").when(e == "click", "MergeConflict").when(e == "view", "Network").when(e == "signup", "Other")
+    """Process exit codes of all kinds of error; no error is 0, and kinds without a code of their own are 1."""
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 17).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"))
     return rows.select("event_id", "kind", H.exit_code(F.col("kind")).alias("code"), F.coalesce(H.is_integrity(F.col("kind")), F.lit(False)).alias("integrity"))
 
