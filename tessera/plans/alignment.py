@@ -200,7 +200,7 @@ def auction_assignment(spark, sf_dir):
     """Candidates by quantile fingerprints, true costs on them only, auction, exact repair."""
     from tessera.operators.matching import sparse_match
 
-    return _solved(spark, sf_dir, lambda a, b: sparse_match(a, b)[0])
+    return _solved(spark, sf_dir, lambda a, b: sparse_match([a], [b]).held)
 
 
 @query(PLANTED + """
