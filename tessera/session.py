@@ -24,13 +24,16 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, does the session get a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, does the session get a folder of its own.
     """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return named or context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:

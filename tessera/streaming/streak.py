@@ -22,24 +22,30 @@ def streaks(reads: DataFrame) -> DataFrame:
 
 
 def streaming_streaks(reads: DataFrame, idle_minutes: int = 60) -> DataFrame:
-    """The same over a stream of reads; a handle's state is its last end and streak, dropped when idle."""
+    """The same over a stream of reads; a handle's state is its last end and streak, dropped when idle.
+
+    Time is that of the reads: a watermark ``idle_minutes`` behind the newest read drops
+    later ones, and a handle whose last read is that long behind the watermark loses its state. No
+    clock is involved, so a stream without new reads comes to rest.
+    """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         end, streak = state.get if state.exists else (None, 0)
-        for batch in batches:
-            rows = batch.sort_values(["ts", "event_id"])
-            out = []
-            for off, size in zip(rows["off"], rows["len"], strict=True):
-                streak = streak + 1 if end == off else 0
-                end = int(off + size)
-                out.append(streak)
-            yield pd.DataFrame({"handle": key[0], "event_id": rows["event_id"].to_numpy(), "streak": out, "prefetch": [AHEAD if s >= TRIGGER else 0 for s in out]})
+        # A micro-batch's rows of a handle may come in several pieces, in any order.
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for off, size in zip(rows["off"], rows["len"], strict=True):
+            streak = streak + 1 if end == off else 0
+            end = int(off + size)
+            out.append(streak)
+        yield pd.DataFrame({"handle": key[0], "event_id": rows["event_id"].to_numpy(), "streak": out, "prefetch": [AHEAD if s >= TRIGGER else 0 for s in out]})
         state.update((end, streak))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + idle_minutes * 60_000)
 
-    return reads.groupBy("handle").applyInPandasWithState(
-        follow, "handle long, event_id long, streak long, prefetch int", "end long, streak long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = reads.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", f"{idle_minutes} minutes")
+    return timed.groupBy("handle").applyInPandasWithState(
+        follow, "handle long, event_id long, streak long, prefetch int", "end long, streak long", "append", GroupStateTimeout.EventTimeTimeout
     )

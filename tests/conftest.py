@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -14,3 +15,19 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+#: Seconds that one test may take; a stream that never rests must not take the suite with it.
+LIMIT = 240
+
+
+@pytest.fixture(autouse=True)
+def time_limit():
+    def stop(signum, frame):
+        raise TimeoutError(f"the test took over {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
