@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import materialise, partitions, scratch, table  # noqa: F401
@@ -29,3 +29,21 @@ def worker_cache() -> dict:
 def masked(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns renamed c0, c1, ..., so that no helper column can clash, and the real names."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` written in buckets of ``key`` in the shared folder; joins and groups by that key don't move it again."""
+    spark = df.sparkSession
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, f"{scratch(spark)}/{name}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate files, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
