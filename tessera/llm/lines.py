@@ -7,13 +7,16 @@ the limit it decides; near the limit the distinct sites are counted exactly. Eac
 boilerplate line stays at its first place in the corpus (the smallest doc_id, then
 the first position) and is removed everywhere else.
 
-A line is compared without the blanks, tabs and carriage returns around it; lines
-shorter than ``min_chars`` characters are never boilerplate.
+The limit is lower for long lines: chance doesn't repeat a passage of 50 words or more on three
+sites. Repetition within one site is no spread, however often the line stands there.
+
+A line is compared without the blanks, tabs and carriage returns around it, by a
+128-bit hash; lines shorter than ``min_chars`` characters are never boilerplate.
 
 Edge cases: a null text has no lines and is returned as it is; a null source is one
 site of its own; rows equal in id and text are one document and keep the same
 lines; null ids come last in the order of places; an empty table gives no rows;
-other columns are carried unchanged.
+other columns are carried unchanged; very long texts and lines are rows like any other.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import masked, materialise, table
 
 MIN_SITES = 6
+#: The limit for lines of so many words or more.
+LONG_SITES, LONG_WORDS = 3, 50
 MIN_CHARS = 20
 #: log2 of the sketch's buckets; its standard error is about 0.8 / sqrt(2^12).
 LOG_BUCKETS = 12
@@ -35,35 +40,43 @@ def stripped(line):
     return F.trim(line, F.lit(" \t\r"))
 
 
-def _lines(rows: DataFrame, text: str, id_: str, site: str, min_chars: int) -> DataFrame:
-    """One narrow row per eligible line: document key, id, site hash, position, line hash."""
-    lines = F.posexplode(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.when(F.char_length(stripped(x)) >= min_chars, F.xxhash64(stripped(x)))))
-    return rows.where(F.col(text).isNotNull()).select("_key", F.col(id_).alias("_id"), F.col(site).alias("_site"), lines.alias("_pos", "_line")).where(F.col("_line").isNotNull())
+def _limit(line, min_sites: int):
+    """Distinct sites that make a line boilerplate; words are only counted where there may be enough."""
+    words = F.when(F.char_length(line) >= 2 * LONG_WORDS - 1, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")))
+    return F.when(words >= LONG_WORDS, F.lit(min(min_sites, LONG_SITES))).otherwise(F.lit(min_sites))
+
+
+def _lines(rows: DataFrame, text: str, id_: str, site: str, min_sites: int, min_chars: int) -> DataFrame:
+    """One narrow row per eligible line: document key, id, site hash, position, line hash and its limit."""
+    described = lambda x: F.struct(F.unhex(F.md5(x.cast("binary"))).alias("h"), _limit(x, min_sites).alias("m"))
+    lines = F.posexplode(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.when(F.char_length(stripped(x)) >= min_chars, described(stripped(x)))))
+    found = rows.where(F.col(text).isNotNull()).select("_key", F.col(id_).alias("_id"), F.col(site).alias("_site"), lines.alias("_pos", "_x")).where(F.col("_x").isNotNull())
+    return found.select("_key", "_id", "_site", "_pos", F.col("_x.h").alias("_line"), F.col("_x.m").alias("_min"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """The line hashes with at least ``min_sites`` distinct sites."""
-    often = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_n"), F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
-    often = often.where((F.col("_n") >= min_sites) & (F.lit(min_sites <= 1) | (F.col("_lo") != F.col("_hi")))).select("_line")
-    # Cut here: a join that an aggregation follows without a shuffle can't be split where a line is hot.
-    candidates = materialise(lines.join(often, "_line", "left_semi").select("_line", "_site"))
-    sketched = materialise(candidates.groupBy("_line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", LOG_BUCKETS)).alias("_e")))
-    near = F.abs(F.col("_e") - min_sites) <= F.greatest(F.lit(1.0), F.lit(NEAR * min_sites))
-    sure = sketched.where(~near & (F.col("_e") >= min_sites)).select("_line")
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """The line hashes with at least ``_min`` distinct sites."""
+    often = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_n"), F.min("_min").alias("_min"), F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
+    # Written tables on both sides of a join by line, and nothing by line above it: only so can a hot line be split.
+    often = materialise(often.where((F.col("_n") >= F.col("_min")) & ((F.col("_min") <= 1) | (F.col("_lo") != F.col("_hi")))).select("_line"))
+    candidates = materialise(lines.join(often, "_line", "left_semi").select("_line", "_site", "_min"))
+    sketched = materialise(candidates.groupBy("_line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", LOG_BUCKETS)).alias("_e"), F.min("_min").alias("_min")))
+    near = F.abs(F.col("_e") - F.col("_min")) <= F.greatest(F.lit(1.0), F.lit(NEAR) * F.col("_min"))
+    sure = sketched.where(~near & (F.col("_e") >= F.col("_min"))).select("_line")
     unsure = sketched.where(near).select("_line")
-    exact = candidates.join(unsure, "_line", "left_semi").distinct().groupBy("_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites)
-    return sure.unionByName(exact.select("_line"))
+    exact = materialise(candidates.join(unsure, "_line", "left_semi")).distinct().groupBy("_line").agg(F.count(F.lit(1)).alias("_n"), F.min("_min").alias("_min"))
+    return sure.unionByName(exact.where(F.col("_n") >= F.col("_min")).select("_line"))
 
 
 def removals(rows: DataFrame, text: str, id_: str, site: str, min_sites: int, min_chars: int) -> DataFrame:
     """``_key`` of every document that loses lines, with the array ``_gone`` of their positions from 0."""
-    lines = materialise(_lines(rows, text, id_, site, min_chars))
-    spread = materialise(boilerplate(lines, min_sites))
+    lines = materialise(_lines(rows, text, id_, site, min_sites, min_chars))
+    spread = materialise(boilerplate(lines))
     places = materialise(lines.join(spread, "_line"))
     # First place: null ids last, then by id, key and position.
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_pos").alias("p"))
     first = places.groupBy("_line").agg(F.min(order).alias("_first")).select("_line", F.col("_first.k").alias("_k1"), F.col("_first.p").alias("_p1"))
-    gone = places.join(first, "_line").where((F.col("_key") != F.col("_k1")) | (F.col("_pos") != F.col("_p1")))
+    gone = places.join(materialise(first), "_line").where((F.col("_key") != F.col("_k1")) | (F.col("_pos") != F.col("_p1")))
     return gone.groupBy("_key").agg(F.collect_set("_pos").alias("_gone"))
 
 
@@ -74,7 +87,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_: str = "doc_id", sit
     """
     hidden, names = masked(docs)
     at = {n: f"c{i}" for i, n in enumerate(names)}
-    rows = hidden.withColumn("_key", F.xxhash64(at[id_], at[text]))
+    named = F.concat(F.coalesce(F.concat(F.lit("="), F.col(at[id_]).cast("string")), F.lit("null")), F.lit("\n"), F.coalesce(F.col(at[text]), F.lit("")))
+    rows = hidden.withColumn("_key", F.unhex(F.md5(named.cast("binary"))))
     sited = rows.withColumn("_s", F.xxhash64(F.col(at[site]).isNull(), F.col(at[site])))
     gone = removals(sited, at[text], at[id_], "_s", min_sites, min_chars)
     out = rows.join(gone, "_key", "left")
@@ -102,7 +116,7 @@ WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
 ), e AS (SELECT doc_id, coalesce(source, '') AS site, source IS NULL AS nosite, pos, trim(line, ' ' || chr(9) || chr(13)) AS s FROM l),
 spread AS (
-  SELECT s, min(doc_id) AS d1 FROM e WHERE length(s) >= 20 GROUP BY s HAVING count(DISTINCT (site, nosite)) >= 6
+  SELECT s, min(doc_id) AS d1 FROM e WHERE length(s) >= 20 GROUP BY s HAVING count(DISTINCT (site, nosite)) >= CASE WHEN len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) >= 50 THEN 3 ELSE 6 END
 ), first_place AS (SELECT e.s, d1, min(pos) AS p1 FROM e JOIN spread ON e.s = spread.s AND e.doc_id = d1 GROUP BY e.s, d1),
 marked AS (
   SELECT l.doc_id, l.pos, l.line, f.s IS NOT NULL AND NOT (l.doc_id = f.d1 AND l.pos = f.p1) AS gone
