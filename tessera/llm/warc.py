@@ -13,8 +13,9 @@ each round; what it doesn't reach is payload and is joined back to the record it
 
 Edge cases: a null html is an empty payload; a null url is left out of the record;
 line breaks in a url are percent-encoded; of equal payloads the largest page_id is
-the response, all rows with that id are, and null ids refer to it; a table without
-rows gives no records.
+the response, all rows with that id are, and null ids refer to it;
+repeated rows are a record each; very long payloads are one record like any other, as long as
+a row can hold them; other columns are ignored; a table without rows gives no records.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, scratch, table, utf8
+from tessera.llm.common import delete, materialise, scratch, table, utf8
 
 MAGIC = "WARC/1.0\r\n"
 EMPTY_LINE = "\r\n\r\n"
@@ -112,8 +113,9 @@ def _with_fields(raw: DataFrame) -> DataFrame:
     whole = F.coalesce(F.col("size") == F.col("body") + F.col("length") + len(EMPTY_LINE), F.lit(False))
     rows = rows.withColumns({"whole": whole, "kind": _field("WARC-Type", "[a-z]+")})
     block = F.substring(F.col("value").cast("binary"), (F.col("body") + 1).cast("int"), F.col("length").cast("int"))
-    rows = rows.withColumn("digest", F.when(F.col("whole") & (F.col("kind") == "response"), base32_sha1(payload_of(block))))
-    return rows.drop("value")
+    # Bound by a lambda, so that the payload is cut out once for both.
+    read = F.transform(F.array(payload_of(block)), lambda p: F.struct(base32_sha1(p).alias("digest"), F.octet_length(p).cast("long").alias("taken")))[0]
+    return rows.withColumn("_read", F.when(F.col("whole") & (F.col("kind") == "response"), read)).select(*[c for c in rows.columns if c != "value"], "_read.digest", "_read.taken")
 
 
 def payload_of(block):
@@ -189,7 +191,7 @@ def _chain(candidates: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under path: file, node (its offset), head, kind and, of responses, size and digest of the payload read."""
+    """Every record of the archives under path: file, node (its offset), head, kind and, of responses, digest and bytes taken of the payload read."""
     keys = ["file", "block", "seq"]
     described = materialise(_with_fields(_pieces(spark, path)))
     sizes = described.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("taken"), F.min("seq").alias("first"))
@@ -204,7 +206,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ends = F.col("node") + len(MAGIC) + F.col("body") + F.col("length") + len(EMPTY_LINE)
     reached = _chain(nodes.where("length is not null and kind <> ''").select("file", "block", "node", ends.alias("next")))
     found = nodes.join(reached, ["file", "node"], "left_semi")
-    out = found.where("whole").select("file", "node", "head", "kind", "digest")
+    out = found.where("whole").select("file", "node", "head", "kind", "digest", "taken")
     split = found.where("not whole").select("file", "node", (F.col("node") + len(MAGIC) + F.col("body") + F.col("length") + len(EMPTY_LINE)).alias("next"), "head", "kind", "body", "length")
     if split.isEmpty():
         return out
@@ -230,17 +232,21 @@ def _joined(spark: SparkSession, path: str, nodes: DataFrame, reached: DataFrame
     whole = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["b"], lambda a, x: F.concat(a, magic, x["b"]))
     rows = split.join(parts.withColumnRenamed("owner", "node").withColumn("bytes", whole), ["file", "node"])
     block = F.substring(F.col("bytes"), (F.col("body") + 1).cast("int"), F.col("length").cast("int"))
-    return rows.select("file", "node", "head", "kind", F.when(F.col("kind") == "response", base32_sha1(payload_of(block))).alias("digest"))
+    response = F.col("kind") == "response"
+    return rows.select("file", "node", "head", "kind", F.when(response, base32_sha1(payload_of(block))).alias("digest"), F.when(response, F.octet_length(payload_of(block)).cast("long")).alias("taken"))
 
 
 def described_records(found: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and whether the payload read has the digest that was written."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and whether the payload read has the digest that was written.
+
+    Bytes and digest of a response are those of the payload that was read; a revisit has no payload but its header's.
+    """
     page = r"<urn:x-page:(-?[0-9]+)>"
     id_ = lambda name: F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}: *{page}(?:\r\n|$)", 1).try_cast("long")
     written = F.regexp_extract("head", r"(?:^|\r\n)WARC-Payload-Digest: *sha1:([A-Z2-7]{32})(?:\r\n|$)", 1)
     return found.select(
         id_("WARC-Record-ID").alias("page_id"),
-        _field("X-Payload-Bytes", "[0-9]+").cast("long").alias("payload_bytes"),
+        F.coalesce("taken", _field("X-Payload-Bytes", "[0-9]+").try_cast("long")).alias("payload_bytes"),
         F.coalesce("digest", written).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         id_("WARC-Refers-To").alias("refers_to"),
@@ -248,16 +254,11 @@ def described_records(found: DataFrame) -> DataFrame:
     )
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     out = materialise(described_records(read(spark, path)))
-    _delete(spark, path)
+    delete(spark, path)
     return out
 
 
