@@ -12,8 +12,9 @@ regular expression; every other text, and any with special-token strings, goes
 through the tokenizer whole.
 
 Edge cases: a null or empty text is the single end token; very long texts are cut
-freely and their pieces share a group; repeated documents are packed once per row;
-an empty table gives no rows; extra columns are ignored.
+freely and their pieces dealt to any groups; repeated documents are packed once per row and
+dealt apart; ties of length go by id, start and crc; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 def pack(cut: DataFrame, *, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces; sequence ids hold the group in their upper 32 bits."""
     columns = cut.columns
-    grouped = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit("packing"), "doc_id", "doc_tokens"), F.lit(groups)))
+    # The row's number keeps repeated rows apart, however many there are.
+    grouped = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit("packing"), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     out = cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
 
     def run(key, t):
