@@ -14,7 +14,7 @@ it. A source with a third of all rows is dealt over as many ranges as the rest.
 Edge cases: null sources are one stratum of their own; null ids and texts are
 ordinary rows (a null text has no bytes); ties of the hash and repeated rows are
 ordered by the remaining key columns, and rows equal in all of them are
-interchangeable; an empty table gives no rows; other columns are carried unchanged.
+interchangeable; very long texts are rows like any other; an empty table gives no rows; other columns are carried unchanged.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import masked, partitions, table
+from tessera.llm.common import masked, materialise, partitions, table
 
 SEED = "tessera-shards"
 SHARDS = 8
@@ -84,7 +84,8 @@ def op2_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    return interleave(docs, ["doc_id", "text_crc32", "size"]).select(
+    # Several passes follow; the texts are read in the first only.
+    return interleave(materialise(docs), ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
