@@ -11,7 +11,9 @@ Base labels need no placement: they are the fixed phrases below, wherever their
 words stand consecutively.
 
 Edge cases: null and wordless texts have no labels, score 0 and null first and last
-word; repeated documents are judged row by row; extra columns are ignored.
+word; repeated documents are judged row by row; words of equal frequency are ranked
+alphabetically; very long texts are scanned whole; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,60 +32,118 @@ from tessera.llm.decontaminate import words_of
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label -> (opening text, mandatory key phrases); public licence wording.
+#: label -> (texts, mandatory key phrases): public licence wording, the first words and whole notices or openings. Fixed values.
 TEMPLATES = {
     "mit": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files to deal in the software without restriction",
-        ["permission is hereby granted free of charge"],
+        [
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+            "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        ],
+        ["any person obtaining a copy of this software"],
     ),
     "apache-2": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+        [
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+            "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+            'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+            "See the License for the specific language governing permissions and limitations under the License.",
+        ],
         ["apache license version 2"],
     ),
     "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        [
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+            "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+            "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+            "and/or other materials provided with the distribution.",
+        ],
         ["redistribution and use in source and binary forms"],
     ),
     "gpl": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-        "as published by the free software foundation",
+        [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+            "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
+            "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+            "See the GNU General Public License for more details.",
+        ],
         ["gnu general public license"],
     ),
     "lgpl": (
-        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
-        "as published by the free software foundation",
+        [
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+            "Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, "
+            "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+            "See the GNU Lesser General Public License for more details.",
+        ],
         ["gnu lesser general public license"],
     ),
     "mpl-2": (
-        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        [
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+            "You can obtain one at http://mozilla.org/MPL/2.0/.",
+        ],
         ["mozilla public license"],
     ),
+    "isc": (
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+            "and this permission notice appear in all copies."
+        ],
+        ["for any purpose with or without fee"],
+    ),
+    "unlicense": (
+        [
+            "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+            "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+        ],
+        ["free and unencumbered software"],
+    ),
+    "zlib": (
+        [
+            "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+            "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+            "subject to the following restrictions:"
+        ],
+        ["to alter it and redistribute it freely"],
+    ),
     "cc-by": (
-        "this work is licensed under a creative commons attribution 4 0 international license",
+        ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
         ["creative commons attribution 4", "creative commons attribution international"],
     ),
     "cc-by-sa": (
-        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
         ["creative commons attribution sharealike"],
     ),
     "cc0": (
-        "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights",
+        [
+            "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under "
+            "copyright law, including all related and neighboring rights, to the extent allowed by law."
+        ],
         ["dedicated the work to the public domain"],
     ),
-    "all-rights-reserved": ("all rights reserved", ["all rights reserved"]),
+    "all-rights-reserved": (["All rights reserved"], ["all rights reserved"]),
 }
 RARE = 6
 COVERAGE = 0.6
 
 
 def _index():
-    postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+    """Postings word -> (template, position), and each template's words; a template is (label, number)."""
+    postings: dict[bytes, list[tuple[tuple[str, int], int]]] = defaultdict(list)
     words = {}
-    for label, (text, _) in TEMPLATES.items():
-        words[label] = text.encode().split()
-        for p, w in enumerate(words[label]):
-            postings[w].append((label, p))
+    for label, (texts, _) in TEMPLATES.items():
+        for k, text in enumerate(texts):
+            words[label, k] = words_of(text.encode())
+            for p, w in enumerate(words[label, k]):
+                postings[w].append(((label, k), p))
     return dict(postings), words
 
 
@@ -113,19 +173,19 @@ def placements(words: list[bytes], postings: dict, templates: dict, idf: dict[by
             at[w].append(i)
     if not at:
         return set(), 0.0
-    votes: dict[tuple[str, int], int] = Counter()
-    rare: dict[str, list[bytes]] = {}
-    for label, text in templates.items():
-        rare[label] = sorted({w for w in text if w in at}, key=lambda w: (-idf[w], w))[:RARE]
-        for w in rare[label]:
+    votes: dict[tuple, int] = Counter()
+    rare: dict[tuple[str, int], list[bytes]] = {}
+    for name, text in templates.items():
+        rare[name] = sorted({w for w in text if w in at}, key=lambda w: (-idf[w], w))[:RARE]
+        for w in rare[name]:
             for own, p in postings[w]:
-                if own == label:
+                if own == name:
                     for i in at[w]:
-                        votes[label, i - p] += 1
+                        votes[name, i - p] += 1
     labels, best = set(), 0.0
-    for (label, shift), n in votes.items():
-        text = templates[label]
-        if n < min(2, len(rare[label])) or n < 2:
+    for (name, shift), n in votes.items():
+        text, label = templates[name], name[0]
+        if n < 2:
             continue
         same = sum(0 <= shift + p < len(words) and words[shift + p] == w for p, w in enumerate(text))
         coverage = same / len(text)
@@ -154,11 +214,15 @@ def scan(docs: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 words = words_of(texts[k].as_py())
                 line = b" " + b" ".join(words) + b" "
-                starts, base = [], set()
+                places, base = [], set()
                 for pattern, label in phrases:
-                    for m in pattern.finditer(line):
-                        starts.append(line.count(b" ", 0, m.start()))
+                    found = [m.start() for m in pattern.finditer(line)]
+                    if found:
+                        places += found
                         base.add(label)
+                # A word's number is that of the blanks before it.
+                blanks = np.nonzero(np.frombuffer(line, np.uint8) == 32)[0] if places else np.zeros(0, np.int64)
+                starts = np.searchsorted(blanks, places).tolist()
                 placed, best = placements(words, postings, templates, idf)
                 out.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | placed)), 1.0 if base else best))
             columns = list(zip(*out, strict=True)) or [[]] * 7
@@ -168,5 +232,17 @@ def scan(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
+#: The base columns; placements of templates have no SQL.
+BASE_ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), p(words, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+f AS (
+  SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, words, label, unnest(range(1, len(ws) - len(words) + 2)) AS i FROM w, p WHERE len(ws) >= len(words)) WHERE ws[i:i + len(words) - 1] = words
+), g AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM f GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(l, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
