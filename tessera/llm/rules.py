@@ -1,6 +1,6 @@
 """Quality rules: base counts and a hashed n-gram logistic regression.
 
-Word uni- and bigrams and byte 4-grams are hashed into two fixed tables; the counts
+Word uni- and bigrams and 4-grams of characters are hashed into two fixed tables; the counts
 of each, scaled to unit length, are the features of a logistic regression that is
 trained on a bounded sample of labelled rows and calibrated on a part of it that
 the weights never saw. Whole texts are scored in Arrow batches; documents under a
@@ -9,7 +9,9 @@ a base rule.
 
 Edge cases: null and wordless texts have zero counts and fail the base rule of ten
 words; labels that disagree and null ids or labels are not trained on; without rows
-of both classes the method rejects nothing; repeated documents are judged alike.
+of both classes the method rejects nothing; repeated documents are judged alike; ids
+whose hashes tie are ordered by id in the sample; very long texts are hashed in blocks that
+overlap; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,16 +73,18 @@ def counts(text: bytes) -> tuple[list[int], np.ndarray]:
 
 
 def hashed(text: bytes, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the hashed word 1- and 2-grams and of the hashed byte 4-grams."""
+    """Counts of the hashed word 1- and 2-grams and of the hashed 4-grams of characters."""
     mask = np.uint64(TABLE - 1)
     word = np.bincount((_finish(h) & mask).astype(np.int64), minlength=TABLE)
     if len(h) > 1:
         word += np.bincount((_finish(h[:-1] * MIX + h[1:]) & mask).astype(np.int64), minlength=TABLE)
     char = np.zeros(TABLE, np.int64)
-    raw = np.frombuffer(text, np.uint8)
-    for a in range(0, max(0, len(raw) - 3), BLOCK):
-        b = raw[a : a + BLOCK + 3].astype(np.uint32)
-        g = b[:-3] | (b[1:-2] << np.uint32(8)) | (b[2:-1] << np.uint32(16)) | (b[3:] << np.uint32(24))
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    for a in range(0, max(0, len(points) - 3), BLOCK):
+        b = points[a : a + BLOCK + 3]
+        g = b[:-3].copy()
+        for k in range(1, 4):
+            g = g * np.uint32(0x01000193) ^ b[k : len(b) - 3 + k]
         char += np.bincount((g * np.uint32(2654435761)) >> np.uint32(18), minlength=TABLE)
     return word, char
 
@@ -158,7 +162,7 @@ def probability(model: dict | None, word: np.ndarray, char: np.ndarray) -> float
 
 
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
-    """Base counts, base_failed, probability and kept of every document."""
+    """Base counts, base_failed, kept and probability of every document."""
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_utf8"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,13 +179,31 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
             base = np.array(base, np.int64).reshape(-1, 5)
             failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
             prob = np.array(prob, np.float64)
-            arrays = [batch.column("doc_id"), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(prob), pa.array(~failed & (prob >= threshold))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "base_failed", "probability", "kept"])
+            arrays = [batch.column("doc_id"), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & (prob >= threshold)), pa.array(prob)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "base_failed", "kept", "probability"])
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, probability double, kept boolean"
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, probability double"
     return source.mapInArrow(run, schema)
 
 
+#: The base counts and rule; the model's verdict has no SQL.
+BASE_ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 6)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM t) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY doc_id),
+c AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(training_sample(docs, table(spark, sf_dir, "labels"))))
