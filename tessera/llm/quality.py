@@ -8,8 +8,9 @@ logistic of the difference of the two log densities plus the log prior ratio.
 
 Edge cases: a null text counts as empty and is scored; labels of a doc_id that
 disagree, and null ids or labels, are left out of training; with fewer than two
-rows of a class every score is 0.5; extra columns are ignored by ``features`` and
-kept by ``keep_good``.
+rows of a class every score is 0.5; repeated rows are scored alike and counted each; a
+score of exactly 0.5 is predicted 1; very long texts are counted whole; an empty table
+gives no rows; extra columns are ignored by ``features`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
