@@ -135,7 +135,8 @@ def tree_lookup(spark, sf_dir):
 
 #: Orders are files, their lines the buffer; every 13th order has no lines that are read.
 MANIFESTS = """
-WITH l AS (SELECT l_orderkey AS file, l_linenumber AS seq, l_orderkey || '.' || l_linenumber AS tensor, CASE WHEN l_partkey % 97 = 5 THEN 0 ELSE l_quantity::BIGINT * 4 END AS nbytes, l_partkey, l_suppkey % 3 AS g FROM lineitem WHERE l_orderkey % 13 <> 4),
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem WHERE l_orderkey % 13 <> 4),
+l AS (SELECT l_orderkey AS file, seq, l_orderkey || '.' || seq AS tensor, CASE WHEN l_partkey % 97 = 5 THEN 0 ELSE l_quantity::BIGINT * 4 END AS nbytes, l_partkey, l_suppkey % 3 AS g FROM k),
 b AS (SELECT *, coalesce(sum(nbytes) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 100 + CASE WHEN l_partkey % 89 = 7 THEN 8 ELSE 0 END AS off FROM l),
 f AS (SELECT o_orderkey AS file, coalesce((SELECT sum(nbytes) FROM l WHERE l.file = o_orderkey), 0)::BIGINT + 100 + CASE WHEN o_orderkey % 19 = 3 THEN 1 ELSE 0 END AS total_bytes FROM orders),
 g AS (SELECT o_orderkey AS file, k AS grp, CASE WHEN (o_orderkey + k) % 4 = 0 THEN 'full' ELSE 'delta' END AS mode, (o_orderkey + k) % 20 <> 0 AS block, (o_orderkey + k) % 23 <> 1 AS base, o_orderkey % 29 <> 2 AS diff,
@@ -145,9 +146,10 @@ g AS (SELECT o_orderkey AS file, k AS grp, CASE WHEN (o_orderkey + k) % 4 = 0 TH
 
 def _manifests(spark, sf_dir):
     k = F.col("l_orderkey")
-    lines = table(spark, sf_dir, "lineitem").where(k % 13 != 4)
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").where(k % 13 != 4).withColumn("seq", number)
     nbytes = F.when(F.col("l_partkey") % 97 == 5, 0).otherwise(F.col("l_quantity").cast("long") * 4)
-    lines = lines.select(k.alias("file"), F.col("l_linenumber").alias("seq"), F.concat(k.cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("tensor"), nbytes.alias("nbytes"), "l_partkey", (F.col("l_suppkey") % 3).cast("int").alias("group"))
+    lines = lines.select(k.alias("file"), "seq", F.concat(k.cast("string"), F.lit("."), F.col("seq").cast("string")).alias("tensor"), nbytes.alias("nbytes"), "l_partkey", (F.col("l_suppkey") % 3).cast("int").alias("group"))
     before = F.sum("nbytes").over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     buffer = lines.withColumn("off", F.coalesce(before, F.lit(0)) + 100 + F.when(F.col("l_partkey") % 89 == 7, 8).otherwise(0)).drop("l_partkey")
     o = F.col("o_orderkey")
