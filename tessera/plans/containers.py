@@ -114,7 +114,7 @@ def permutation_bytes(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT c_nationkey AS nation, c_name AS name, sha256(c_name) AS id FROM customer),
+WITH c AS (SELECT c_nationkey::BIGINT AS nation, c_name AS name, sha256(c_name) AS id FROM customer),
 n AS (SELECT nation, count(*)::BIGINT AS entries, min(name) AS first, max(name) AS last FROM c GROUP BY nation)
 SELECT c.nation, name, id AS found, entries, first, last FROM c JOIN n ON n.nation = c.nation
 UNION ALL SELECT nation, first || '~', NULL, entries, first, last FROM n
