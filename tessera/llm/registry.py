@@ -17,6 +17,8 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_interleaved_shards": shards.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op6_warc_round_trip": warc.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }
