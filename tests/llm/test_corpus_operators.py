@@ -3,14 +3,17 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join as J
 from tessera.llm import packing as P
+from tessera.llm import quality as Q
 from tessera.llm import shards as S
 from tessera.llm import suffix_dedup as X
 from tessera.llm import warc as W
@@ -78,6 +81,44 @@ def test_ngram_join_by_brute_force(spark, monkeypatch, rounds):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_ngram_join_in_batches(spark, monkeypatch):
+    # Pairs are counted in several batches, as a group of documents shares rare shingles without linking.
+    monkeypatch.setattr(J, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(J, "PAIRS_PER_POSTING", 0.2)
+    monkeypatch.setattr(J, "MEETING", 4)
+    monkeypatch.setattr(J, "FLUSH_MEETINGS", 50)
+    rng = random.Random(9)
+    core = " ".join(f"c{i}" for i in range(40))
+    texts = [core + " " + " ".join(f"{rng.random()}" for _ in range(rng.choice([5, 9, 14]))) for _ in range(25)] + near_copies(rng, 18)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.classes(docs(spark, texts).select("doc_id", "text")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    texts = [" ".join(words), " ".join(words[:25_000]), " ".join(words[20_000:]), " ".join(words[:3])]
+    got = {r["doc_id"]: r["component_id"] for r in J.classes(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_partial_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, n)).astype(np.uint64) for n in (0, 5, 30, 60, 1)]
+    owner, grams = np.repeat(np.arange(5), [len(x) for x in sets]), np.concatenate(sets)
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(5), np.arange(5)))
+    order = rng.permutation(len(grams))
+    got = J.partial_overlaps(owner[order], grams[order], left, right, 5)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)]
+
+
+def test_ngram_join_keeps_unlike_rows_of_one_id(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcde"]
+    frame = docs(spark, [*texts, texts[0], texts[1] + " more", None, None], [None, None, 3, 3, 5, None, 3, 3, None])
+    kept = J.keep_one(frame).collect()
+    # Five unlike texts; the sixth row is the first again, the seventh a near copy of the second with an id.
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("None", texts[0]), ("3", texts[1] + " more"), ("3", texts[2]), ("3", texts[3]), ("5", texts[4]), ("3", ""), ("None", "")])
+
+
 def test_ngram_join_keeps_one(spark):
     text = " ".join(f"w{i}" for i in range(40))
     texts = [text, text + " x", "other words stand in this one here", text, None, ""]
@@ -124,6 +165,13 @@ def test_packing_keeps_every_token(spark):
     assert P.pack_documents(docs(spark, texts).limit(0)).isEmpty()
 
 
+def test_packing_deals_repeated_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_DOCS", 20)
+    got = P.pack_documents(spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 400 and len(groups) > 10 and max(groups.values()) < 60
+
+
 def test_warc_round_trip_with_magic_in_payloads(spark, tmp_path):
     rng = random.Random(1)
     record = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -178,9 +226,9 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [200, 2])
-def test_suffix_dedup_by_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(X, "GROUP", group)
+@pytest.mark.parametrize("piece", [10, 1, 64])
+def test_suffix_dedup_by_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(X, "PIECE", piece)
     rng = random.Random(6)
     prose = lambda n: "".join(rng.choice("abcdefé ") for _ in range(n))
     passage, other = prose(400), prose(260)
@@ -192,6 +240,20 @@ def test_suffix_dedup_by_brute_force(spark, monkeypatch, group):
     assert X.dedup(docs(spark, texts).limit(0)).isEmpty()
 
 
+def test_suffix_dedup_of_a_hot_passage(spark, monkeypatch):
+    # All texts hold one passage between texts of their own: two anchors with as many different stretches as texts.
+    monkeypatch.setattr(X, "BLOCK", 300)
+    monkeypatch.setattr(X, "RUN_BYTES", 4000)
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(430)
+    texts = [prose(rng.randint(0, 200)) + passage[rng.choice([0, 0, 0, 3, 40]) : rng.choice([430, 430, 400])] + prose(rng.randint(0, 200)) for _ in range(60)]
+    texts += [prose(100) + passage + prose(30) + passage + prose(5), passage, passage[:200], passage[:199]]
+    got = {r["doc_id"]: r for r in X.dedup(docs(spark, texts)).collect()}
+    for i, want in enumerate(brute_removed(texts)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+
+
 def test_suffix_anchors_of_long_texts(monkeypatch):
     rng = random.Random(8)
     text = bytes(rng.choice(b"abcd") for _ in range(5000))
@@ -202,21 +264,134 @@ def test_suffix_anchors_of_long_texts(monkeypatch):
     assert cover(whole) == cover(cut) == list(range(5000 - 199))
 
 
-def test_pipeline(spark):
+def test_warc_long_payloads_and_repeated_rows(spark, tmp_path):
+    long = "line of a very long page\r\n" * 40_000
+    pages = spark.createDataFrame([(1, "u", long, 5), (2, "u", long + "x", 5), (2, "u", long + "x", 5), (3, "u", None, 5)], "page_id long, url string, html string, kind int")
+    W.write(pages, str(tmp_path / "long"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in W.described_records(W.read(spark, str(tmp_path / "long"))).collect())
+    assert got == [(1, len(long), "response"), (2, len(long) + 1, "response"), (2, len(long) + 1, "response"), (3, 0, "response")]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute_discriminant(texts, training):
+    """Class 1's probability of each text, from the densities written out."""
+    x = np.array([Q.statistics((t or "").encode()) for t in texts])
+    known = {k: np.array([Q.statistics((t or "").encode()) for t, y in training if y == k]) for k in (0, 1)}
+    cov = {k: np.cov(v, rowvar=False, bias=True) for k, v in known.items()}
+    total = sum(map(len, known.values()))
+    pooled = sum(len(known[k]) * cov[k] for k in (0, 1)) / total
+    target = 0.8 * pooled + 0.2 * np.diag(np.diag(pooled))
+    log = {}
+    for k in (0, 1):
+        sigma = 0.9 * cov[k] + 0.1 * target + 1e-4 * np.eye(x.shape[1])
+        d = x - known[k].mean(axis=0)
+        log[k] = np.log(len(known[k]) / total) - 0.5 * (np.linalg.slogdet(sigma)[1] + np.einsum("ij,ij->i", d, np.linalg.solve(sigma, d.T).T))
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
+
+
+def training_rows(rows, labels):
+    by_id = {r["doc_id"]: r["text"] for r in rows}
+    return [(by_id[d], y) for d, y in labels if y in (0, 1) and d in by_id and zlib.crc32(str(d).encode()) % 3 != 1]
+
+
+def test_quality_scores_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    want = brute_discriminant([r["text"] for r in rows], training_rows(rows, labels))
+    got = {r["doc_id"]: r for r in Q.op7_quality_qda(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, p in zip(rows, want, strict=True):
+        assert abs(got[r["doc_id"]]["score"] - p) < 1e-6 and got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def brute_lines(rows):
+    """(doc_id, text) without boilerplate lines; documents that lost lines and have only blanks left go."""
+    sites, first = {}, {}
+    for d, text, source in sorted(rows, key=lambda r: r[0]):
+        for pos, line in enumerate((text or "").split("\n")):
+            if len(line.strip(" \t\r")) >= 20:
+                sites.setdefault(line.strip(" \t\r"), set()).add(source)
+                first.setdefault(line.strip(" \t\r"), (d, pos))
+    spread = {x for x, s in sites.items() if len(s) >= (3 if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 50 else 6)}
+    out = []
+    for d, text, _ in rows:
+        kept = [x for pos, x in enumerate((text or "").split("\n")) if x.strip(" \t\r") not in spread or first[x.strip(" \t\r")] == (d, pos)]
+        lost = len(kept) < len((text or "").split("\n"))
+        if not lost or "".join(kept).strip():
+            out.append((d, "\n".join(kept) if lost else text))
+    return out
+
+
+def brute_contaminated(texts, items, window=13):
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    grams = set()
+    for item in items:
+        w = words(item)
+        grams |= {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
+    out = []
+    for t in texts:
+        w = words(t)
+        hit = {j for n in {len(g) for g in grams} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams for j in range(i, i + n)}
+        out.append(bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    known = training_rows([{"doc_id": d, "text": t} for d, t, _ in rows], labels)
+    rows = [r for r, p in zip(rows, brute_discriminant([t for _, t, _ in rows], known), strict=True) if p >= 0.5]
+    left = sorted(brute_lines(rows))
+    found = brute_components([t for _, t in left])
+    left = [r for k, r in enumerate(left) if found[k][1] == k]
+    bad = brute_contaminated([t for _, t in left], [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    left = {d: t for (d, t), b in zip(left, bad, strict=True) if not b}
+    packed = C.run(spark, SF).collect()
+    pieces: dict = {}
+    for r in packed:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    assert set(pieces) == set(left) and 0 < len(left) < 200
+    tokenizer = Tokenizer.from_file(P.vocabulary_path())
+    for d, t in left.items():
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for start, n, crc, total in sorted(pieces[d]):
+            assert (start, crc, total) == (at, zlib.crc32(ids[at : at + n].tobytes()), len(ids))
+            at += n
+        assert at == len(ids)
+    places: dict = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        p.sort()
+        assert all(a == sum(n for _, n in p[:k]) for k, (a, _) in enumerate(p)) and sum(n for _, n in p) <= 2048
+
+
+def test_pipeline_stages_take_any_rows(spark):
+    """Nulls in every column, repeated rows, clashing extra columns, and empty tables, through every stage."""
     import corpus_pipeline as C
 
-    sf = "/root/testdata/sf0.001"
-    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs_.columns
-    docs_ = docs_.cache()
-    for name, stage in C.STAGES[:-1]:
-        out = stage(spark, docs_, sf)
-        assert out.columns == names, name
-        docs_ = out.cache()
-        assert 0 < docs_.count() <= 200
-    ids = {r["doc_id"] for r in docs_.select("doc_id").collect()}
-    packed = C.run(spark, sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
-    empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    for _, stage in C.STAGES:
-        assert stage(spark, empty, sf).isEmpty()
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _key string, _n int, _comp int, n_hit string, _text int, score int, _rows int, c0 int"
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "k", 1, 2, "h", 3, 4, 5, 6) for r in base]
+    rows += [rows[0], rows[0], (None, rows[1][1], *rows[1][2:]), (rows[2][0], "other words under the same id " * 9, *rows[2][2:]), (None,) * 13, (None,) * 13, (99_999, "", *rows[3][2:]), (99_998, "word " * 200_000, *rows[3][2:])]
+    frame = spark.createDataFrame(rows, columns).cache()
+    for name, stage in C.STAGES:
+        out = stage(spark, frame, SF)
+        kept = out.collect()
+        if name == "packing":
+            tokens = {(r["doc_id"], r["doc_tokens"]) for r in kept}
+            assert sum(r["start"] == 0 for r in kept) == len(rows) and (None, 1) in tokens and (99_999, 1) in tokens
+        else:
+            assert out.columns == frame.columns and len(kept) <= len(rows) and all(r["c0"] in (6, None) for r in kept), name
+        if name == "n-gram Jaccard join":
+            assert sum(r["text"] is None for r in kept) == 2 and sum(r["text"] == rows[0][1] for r in kept) <= 1
+            assert sum(r["text"] == "other words under the same id " * 9 for r in kept) == 1
+        if name == "benchmark decontamination":
+            assert sum(r["text"] is None for r in kept) == 2 and sum(r["doc_id"] == 99_998 for r in kept) == 1
+        assert stage(spark, frame.limit(0), SF).isEmpty()
