@@ -6,7 +6,8 @@ folder and reads them back as the next stage's input.
 
 Edge cases are those of the operators; in particular a null text is rejected or kept as
 an empty one is, repeated rows survive line dedup and decontamination as often as they
-come, and an empty table passes through every stage as an empty one.
+come, ties between near duplicates go to the smallest id, extra columns are carried up to the
+last stage whatever their names, and an empty table passes through every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, lines, ngram_join, packing, quality
-from tessera.llm.common import scratch, table
+from tessera.llm.common import delete, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +53,20 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier and the tokenizer can't be written in SQL; the tests compare with brute force.
+#: The classifier and the tokenizer can't be written in SQL; a test compares with a brute-force pipeline.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            # Its successor is written; only the last stage's rows stay.
+            delete(spark, before)
+        before = path
     return docs
