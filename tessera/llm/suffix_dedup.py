@@ -518,6 +518,7 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", with_text
     marks = materialise(docs.select(F.col(key).alias("_id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_sha")))
     marks = marks.withColumn("_key", F.unhex(F.substring("_sha", 1, 32)))
     copies = marks.where(F.col("n_bytes") >= MATCH).groupBy("_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_sha", F.lit(True).alias("_copied"))
+    copies = materialise(copies)
     cut = covered(docs, marks, text=text, key=key, with_text=with_text)
     out = marks.join(cut, "_key", "left").join(copies, "_sha", "left")
     gone, zero = F.col("_copied").isNotNull(), F.lit(0).cast("long")
