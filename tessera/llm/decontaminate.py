@@ -7,7 +7,7 @@ materialising n-grams of the corpus.
 
 Benchmarks are taken in blocks of at most ``block_words`` words: a block is the
 only thing that is broadcast, and its size is bounded by that parameter whatever
-the benchmark holds. With several blocks the documents pass through them in turn.
+the benchmark holds. With several blocks the documents are passed through each.
 
 Edge cases: a null or wordless text has no words, no hits and is clean; null item
 texts and items without words have no window; repeated items count once per row,
@@ -19,6 +19,7 @@ row; an empty benchmark leaves every document clean. Extra columns are ignored b
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -191,7 +192,7 @@ def _blocks(benchmark: DataFrame, block_words: int):
 
 
 def _pass(shared, window: int, key: str, text: str, out: list[str]):
-    """One pass of documents through one block: spans and items are added to what came before."""
+    """One pass of documents through one block: n_words, n_hit, spans and items are added."""
 
     def run(batches):
         cache = worker_cache()
@@ -203,16 +204,14 @@ def _pass(shared, window: int, key: str, text: str, out: list[str]):
         automaton, ids = cache[key]
         for batch in batches:
             texts, spans, items, counts, hits = batch.column(text).cast(pa.binary()), [], [], [], []
-            before_s, before_i = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
             for k in range(batch.num_rows):
                 words = words_of(texts[k].as_py() or b"")
                 got, found = automaton.scan(words)
-                was = list(zip(before_s[k][::2], before_s[k][1::2], strict=True))
-                merged = merge_spans(was + got)
+                merged = merge_spans(got)
                 counts.append(len(words))
                 hits.append(sum(b - a + 1 for a, b in merged))
                 spans.append([x for s in merged for x in s])
-                items.append(before_i[k] + [str(ids[x]) for x in found if ids[x] is not None])
+                items.append([str(ids[x]) for x in found if ids[x] is not None])
             columns = {n: batch.column(n) for n in batch.schema.names} | {
                 "_spans": pa.array(spans, pa.list_(pa.int64())),
                 "_items": pa.array(items, pa.list_(pa.string())),
@@ -224,31 +223,51 @@ def _pass(shared, window: int, key: str, text: str, out: list[str]):
     return run
 
 
+FOUND = {"_spans": "array<long>", "_items": "array<string>", "n_words": "long", "n_hit": "long"}
+
+
+def _scanned(docs: DataFrame, rows, window: int, keep: list[str], text: str) -> DataFrame:
+    """Columns ``keep`` with what one block of items finds."""
+    digest = hashlib.sha1(repr((window, rows)).encode()).hexdigest()
+    names = [*keep, *FOUND]
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.lit(None).cast(k).alias(c) for c, k in FOUND.items()]).schema
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]).mapInArrow(_pass(shared, window, f"automaton-{digest}", text, names), schema)
+
+
+def _united(batches):
+    """Spans of several blocks, end to end, as merged spans and the words that they cover."""
+    for batch in batches:
+        spans = [merge_spans(list(zip(x[::2], x[1::2], strict=True))) for x in batch.column("_spans").to_pylist()]
+        columns = {n: batch.column(n) for n in batch.schema.names} | {
+            "_spans": pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int64())),
+            "n_hit": pa.array([sum(b - a + 1 for a, b in own) for own in spans], pa.int64()),
+        }
+        yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], batch.schema.names)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs with n_words, n_hit, ``_spans`` (flat first/last word pairs) and ``_items``."""
-    spark = docs.sparkSession
+    """Columns ``keep`` of docs with n_words, n_hit, ``_spans`` (flat first/last word pairs) and ``_items``.
+
+    With several blocks the documents are numbered and written once; each block's pass leaves
+    the numbers of the documents that it hits, which are put together at the end.
+    """
     keep = ["doc_id"] if keep is None else keep
-    zero = F.lit(0).cast("long")
-    carried = list(dict.fromkeys([*keep, text]))
-    out = docs.select(
-        *[F.col(f"`{c}`") for c in carried],
-        F.array().cast("array<long>").alias("_spans"),
-        F.array().cast("array<string>").alias("_items"),
-        zero.alias("n_words"),
-        zero.alias("n_hit"),
-    )
     blocks = _blocks(benchmark, block_words)
-    rows = next(blocks)
-    while rows is not None:
-        after = next(blocks, None)
-        digest = hashlib.sha1(repr((window, rows)).encode()).hexdigest()
-        names = [c for c in out.columns if after is not None or c in keep or c != text]
-        shared = spark.sparkContext.broadcast(rows)
-        out = out.mapInArrow(_pass(shared, window, f"automaton-{digest}", text, names), out.select(*[f"`{c}`" for c in names]).schema)
-        if after is not None:
-            out = materialise(out)
-        rows = after
-    return out
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scanned(docs, first, window, keep, text)
+    numbered = materialise(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.monotonically_increasing_id().alias("_row")))
+    base = _scanned(numbered, first, window, [*keep, "_row"], text)
+    base = materialise(base)
+    hits = base.select("_row", "_spans", "_items").where("n_hit > 0")
+    for rows in itertools.chain([second], blocks):
+        found = _scanned(numbered, rows, window, ["_row"], text).where("n_hit > 0").select("_row", "_spans", "_items")
+        hits = hits.union(materialise(found))
+    both = hits.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_s"), F.flatten(F.collect_list("_items")).alias("_i"))
+    empty = lambda c: F.coalesce(c[0], F.array().cast(c[1]))
+    out = base.join(both, "_row", "left").select(*[F.col(f"`{c}`") for c in keep], empty(("_s", "array<long>")).alias("_spans"), empty(("_i", "array<string>")).alias("_items"), "n_words", F.lit(0).cast("long").alias("n_hit"))
+    return out.mapInArrow(_united, out.schema)
 
 
 def judged(scanned: DataFrame, percent: int = 5) -> DataFrame:
