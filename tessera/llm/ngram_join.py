@@ -526,7 +526,7 @@ def labelled(docs: DataFrame, keep: list[str], *, text: str, key: str, percent:
 def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per document: the key, n_shingles and component_id."""
     rows = materialise(labelled(docs, [key], text=text, key=key, percent=percent))
-    least = rows.where("_comp is not null").groupBy("_comp").agg(F.min(key).alias("_least"))
+    least = materialise(rows.where("_comp is not null").groupBy("_comp").agg(F.min(key).alias("_least")))
     out = rows.join(least, "_comp", "left")
     return out.select(key, F.col("_n").alias("n_shingles"), F.coalesce("_least", key).alias("component_id"))
 
