@@ -5,7 +5,8 @@ What it says about nodes goes back packed as well, by bucket of the node, so tha
 rows of an intermediate table follow the tasks and not nodes times fragments.
 
 A node is named by one or two 64-bit words: two (a 128-bit hash) as long as nodes are
-told apart by content, one (a number) once they have been counted.
+told apart by content and their first halves don't do it, else one (that half, or a
+number once they have been counted).
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def _rows(columns: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def segments(pending: list[tuple[bytes, np.ndarray]], fragments: int, wide: bool) -> pa.RecordBatch:
-    """One row per fragment from (node, hashes): the nodes, their sets' sizes, how many hashes each has there, and these."""
+    """One row per fragment from (node, hashes): the nodes, their sets' sizes (if wide), how many hashes each has there, and these."""
     sizes = np.array([len(s) for _, s in pending], np.uint32)
     grams = np.concatenate([s for _, s in pending])
     owner = np.repeat(np.arange(len(pending)), sizes)
@@ -49,7 +50,7 @@ def segments(pending: list[tuple[bytes, np.ndarray]], fragments: int, wide: bool
         at = order[a:b]
         own, counts = np.unique(owner[at], return_counts=True)
         part = grams[at] if wide else grams[at].astype(np.uint32)
-        rows.append((int(frag[at[0]]), nodes[own].tobytes(), sizes[own].tobytes(), counts.astype(np.uint32).tobytes(), part.tobytes()))
+        rows.append((int(frag[at[0]]), nodes[own].tobytes(), sizes[own].tobytes() if wide else b"", counts.astype(np.uint32).tobytes(), part.tobytes()))
     return _rows(list(zip(*rows, strict=True)), ["frag", "nodes", "sizes", "counts", "grams"])
 
 
@@ -85,7 +86,7 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gathered(t: pa.Table, words: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct nodes of a fragment with their sets' sizes, and per hash its node's place among them and its value."""
+    """Distinct nodes of a fragment with their sets' sizes (if wide), and per hash its node's place among them and its value."""
     nodes = blob(t, "nodes", np.int64).reshape(-1, words)
     sizes, counts = blob(t, "sizes", np.uint32).astype(np.int64), blob(t, "counts", np.uint32).astype(np.int64)
     grams = blob(t, "grams", np.uint64 if wide else np.uint32)
@@ -93,7 +94,7 @@ def gathered(t: pa.Table, words: int, wide: bool) -> tuple[np.ndarray, np.ndarra
     is_first = np.zeros(len(nodes), bool)
     is_first[first] = True
     keep = np.repeat(is_first, counts)
-    return names, sizes[first], np.repeat(inverse, counts)[keep], grams[keep]
+    return names, sizes[first] if wide else sizes, np.repeat(inverse, counts)[keep], grams[keep]
 
 
 def frequencies(grams: np.ndarray) -> np.ndarray:

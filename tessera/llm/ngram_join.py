@@ -49,8 +49,9 @@ from tessera.operators.graph import components
 WIDTH = 5
 PERCENT = 75
 #: Shingles that one fragment should hold, on average, and the least numbers of fragments of a
-#: corpus and of the sets that remain. Fragments follow the data, not the cluster.
-FRAGMENT_SHINGLES = 5_000_000
+#: corpus and of the sets that remain. Fragments follow the data, not the cluster. In a large corpus
+#: nearly every shingle of a fragment is of another node, so this bounds a fragment's nodes as well.
+FRAGMENT_SHINGLES = 2_000_000
 LEAST_FRAGMENTS, LEAST_LEFT = 32, 16
 #: Rows of an intermediate table that one partition should hold.
 PART_ROWS = 25_000
@@ -61,8 +62,12 @@ HUBS = 4
 FEW_LINKED, FEW_LEFT = 100, 4
 #: Pairs for each posting that a batch of the remaining ones goes through at most.
 PAIRS_PER_POSTING = 200
+#: Pairs that a task of a batch adds up at most, on average.
+PAIRS_PER_TASK = 4_000_000
 #: Nodes of one gram that meet in one place; longer postings are cut, and every two blocks meet.
 MEETING = 2_000
+#: Sets that a task rebuilds at once.
+REBUILT = 500
 #: Lists that the partners of a node are dealt to in a batch.
 LISTS = 16
 #: Pairs that a task holds before it adds up what it has of each.
@@ -96,9 +101,8 @@ def signed(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("_utf8")
-            sets = [shingles(texts[k].as_py()) for k in range(batch.num_rows)]
-            arrays = [*(batch.column(c) for c in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())]
+            found = [(len(s), node_of(s)) for s in (shingles(text.as_py()) for text in batch.column("_utf8"))]
+            arrays = [*(batch.column(c) for c in keep), pa.array([n for n, _ in found], pa.int64()), pa.array([node for _, node in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "_n", "_node"])
 
     return source.mapInArrow(run, schema)
@@ -116,8 +120,11 @@ def link_overlap(n, percent: int):
     return F.ceil(n * percent / F.lit(100 + percent)).cast("long")
 
 
-def shared_nodes(docs: DataFrame, text: str, fragments: int, percent: int) -> DataFrame:
-    """(_node, n): the nodes of which enough shingles may be shared; narrow hashes can only raise the count."""
+def shared_nodes(docs: DataFrame, text: str, fragments: int, words: int = 2) -> DataFrame:
+    """(name, shared): of how many of a node's shingles another node may have one too; narrow hashes can only raise the count.
+
+    A node is named by the first ``words`` 64-bit words of its hash, by one only where that tells all nodes apart.
+    """
     source = docs.select(utf8(text).alias("_utf8"))
 
     def send(batches):
@@ -126,25 +133,22 @@ def shared_nodes(docs: DataFrame, text: str, fragments: int, percent: int) -> Da
                 texts = batch.column("_utf8")
                 for k in range(batch.num_rows):
                     s = shingles(texts[k].as_py())
-                    yield node_of(s), s
+                    yield (node_of(s) or b"")[: 8 * words], s
 
         yield from sent(sets(), fragments, wide=False)
 
     def count(t):
-        nodes, sizes, owner, grams = gathered(t, 2, wide=False)
+        nodes, _, owner, grams = gathered(t, words, wide=False)
         n = np.bincount(owner[frequencies(grams) > 1], minlength=len(nodes))
-        at = n > 0
-        return packed(nodes[at], {"sizes": sizes[at], "parts": n[at]}, fragments)
+        return packed(nodes[n > 0], {"parts": n[n > 0]}, fragments)
 
     def total(t):
-        nodes, first, inverse = distinct(blob(t, "nodes", np.int64).reshape(-1, 2))
-        sizes = blob(t, "sizes", np.int64)[first]
+        nodes, _, inverse = distinct(blob(t, "nodes", np.int64).reshape(-1, words))
         shared = np.bincount(inverse, weights=blob(t, "parts", np.int64), minlength=len(nodes)).astype(np.int64)
-        at = shared >= _need(sizes, percent)
-        return pa.table([names_column(nodes[at]), pa.array(sizes[at])], ["_node", "n"])
+        return pa.table([names_column(nodes), pa.array(shared)], ["name", "shared"])
 
-    parts = source.mapInArrow(send, SEGMENTS).groupBy("frag").applyInArrow(count, packed_schema("sizes", "parts"))
-    return parts.groupBy("bucket").applyInArrow(total, "_node binary, n long")
+    parts = source.mapInArrow(send, SEGMENTS).groupBy("frag").applyInArrow(count, packed_schema("parts"))
+    return parts.groupBy("bucket").applyInArrow(total, "name binary, shared long")
 
 
 def _of(node: int) -> bytes:
@@ -273,13 +277,9 @@ def links(sets: DataFrame, pairs: DataFrame, fragments: int, buckets: int, lists
 
     def send(batches):
         for batch in batches:
-            own, other, need = [], [], []
-            for node, listed in zip(batch.column("node").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                for x in listed:
-                    own.append(node)
-                    other.append(x["b"])
-                    need.append(x["need"])
-            own, other, need = (np.array(x, np.int64) for x in (own, other, need))
+            listed = batch.column("others")
+            other, need = (x.to_numpy() for x in listed.flatten().flatten())
+            own = np.repeat(batch.column("node").to_numpy(), listed.value_lengths().to_numpy())
             order = np.argsort(own, kind="stable")
             own, other, need = own[order], other[order], need[order]
             for out in sent(_sets_of(batch), fragments, wide=True):
@@ -457,15 +457,26 @@ def _joined(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     return materialise(moved.union(fresh).coalesce(max(1, labels.rdd.getNumPartitions())))
 
 
+def name_words(marks: DataFrame) -> int:
+    """How many 64-bit words of their hashes tell the nodes apart: one, or two if two different hashes begin alike."""
+    halves = marks.where("_node is not null").groupBy(F.substring("_node", 1, 8).alias("name"))
+    alike = halves.agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo <> hi")
+    return 1 if alike.isEmpty() else 2
+
+
 def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, percent: int = PERCENT) -> DataFrame | None:
     """(_node, _found) for the nodes with links, from documents and their signed rows; None without any. ``_found`` is the component's smallest node."""
     total = marks.agg(F.sum("_n")).first()[0] or 0
     if not total:
         return None
-    shared = shared_nodes(docs, text, max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT_SHINGLES)), percent)
-    per_node = marks.where("_node is not null").groupBy("_node").agg(F.min(key).alias("_doc"))
+    per_node = marks.where("_node is not null").groupBy("_node").agg(F.min(key).alias("_doc"), F.first("_n").alias("n"))
+    words = name_words(marks)
+    shared = shared_nodes(docs, text, max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT_SHINGLES)), words)
+    per_node = per_node.withColumn("name", F.substring("_node", 1, 8 * words))
+    # Shingles that no other set has can't be common to two sets that link.
+    shared = shared.join(per_node, "name").where(100 * F.col("shared") >= percent * F.col("n")).select("_node", "n", "_doc")
     # Numbered once, in a written table: from here on a node is a number.
-    alive = materialise(shared.join(per_node, "_node").withColumn("node", F.monotonically_increasing_id()))
+    alive = materialise(shared.withColumn("node", F.monotonically_increasing_id()))
     left, nodes = alive.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not left:
         return None
@@ -477,8 +488,9 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
     def rebuild(batches):
         for batch in batches:
             texts = batch.column("_utf8")
-            sets = [shingles(texts[k].as_py()) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["_node", "grams"])
+            for a in range(0, batch.num_rows, REBUILT):
+                sets = [shingles(text.as_py()) for text in texts[a : a + REBUILT]]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["_node", "grams"])
 
     sets = source.mapInArrow(rebuild, "_node binary, grams binary").where("_node is not null")
     sets = materialise(sets.join(alive.select("_node", "node"), "_node").select("node", "grams"))
@@ -492,7 +504,7 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
         if labels is not None:
             known = materialise(known.coalesce(few(rows)))
         if not batches and (round_ == STAR_ROUNDS or round_ and (linked * FEW_LINKED < nodes or _pairs_left(known, percent) <= FEW_LEFT * rows)):
-            batches = max(1, math.ceil(_pairs_left(known, percent) / (PAIRS_PER_POSTING * rows)))
+            batches = max(1, math.ceil(_pairs_left(known, percent) / min(PAIRS_PER_POSTING * rows, PAIRS_PER_TASK * fragments)))
         if batches:
             pairs = materialise(_batch(known, tried, percent, fragments, batches, number).coalesce(few(HUBS * nodes)))
             number += 1

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,36 @@ def test_ngram_join_in_batches(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_ngram_join_where_hashes_begin_alike(spark, monkeypatch):
+    whole = J.node_of
+    # The first halves tell nothing apart.
+    monkeypatch.setattr(J, "node_of", lambda s: whole(s) and bytes(8) + whole(s)[8:])
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:58]), " ".join(words[::-1]), " ".join(words[:20]), "one two three", "", " ".join(words[::-1][:57])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert J.name_words(J.signed(docs, ["doc_id"])) == 2
+    found = {r["doc_id"]: r["component_id"] for r in J.classes(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2}
+    monkeypatch.undo()
+    assert J.name_words(J.signed(docs, ["doc_id"])) == 1
+    assert {r["doc_id"]: r["component_id"] for r in J.classes(docs).collect()} == found
+
+
+def test_fragment_whose_shingles_are_each_of_another_node():
+    # So are most fragments of a large corpus; a task of an executor of 3 GB has such a fragment beside another one's.
+    import tracemalloc
+
+    n, rng = J.FRAGMENT_SHINGLES, np.random.default_rng(0)
+    row = [rng.integers(0, 2**63, n), np.full(n, 500, np.uint32), np.ones(n, np.uint32), rng.integers(0, 2**32, n, np.uint32)]
+    t = pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("nodes", "sizes", "counts", "grams"), row, strict=True)})
+    tracemalloc.start()
+    nodes, _, owner, grams = J.gathered(t, 1, wide=False)
+    assert len(J.frequencies(grams)) == len(owner) == len(nodes) == n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+
+
 def test_ngram_join_of_very_long_texts(spark):
     words = [f"w{i}" for i in range(30_000)]
     texts = [" ".join(words), " ".join(words[:25_000]), " ".join(words[20_000:]), " ".join(words[:3])]
