@@ -34,6 +34,7 @@ different components; an empty table gives no rows; extra columns are ignored by
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import masked, materialise, table, utf8
+from tessera.llm.common import bucketed, drop_bucketed, masked, materialise, partitions, table, utf8
 from tessera.llm.fragments import SEGMENTS, blob, distinct, fragment_of, frequencies, gathered, groups_of, names_column, packed, packed_schema, sent
 from tessera.llm.rules import MIX, _finish, word_hashes
 from tessera.operators.graph import components
@@ -59,7 +60,7 @@ PART_ROWS = 25_000
 #: links fewer than one in so many nodes, or few pairs are left for each posting.
 STAR_ROUNDS = 5
 HUBS = 4
-FEW_LINKED, FEW_LEFT = 100, 4
+FEW_LINKED, FEW_LEFT = 100, 8
 #: Pairs for each posting that a batch of the remaining ones goes through at most.
 PAIRS_PER_POSTING = 200
 #: Pairs that a task of a batch adds up at most, on average.
@@ -68,6 +69,8 @@ PAIRS_PER_TASK = 4_000_000
 MEETING = 2_000
 #: Sets that a task rebuilds at once.
 REBUILT = 500
+#: Bits for each document whose set is rebuilt, and at most, of the filter that the others don't pass; Spark's bitmaps hold so many.
+BITS_EACH, MOST_BITS, BITMAP = 32, 1 << 26, 1 << 15
 #: Lists that the partners of a node are dealt to in a batch.
 LISTS = 16
 #: Pairs that a task holds before it adds up what it has of each.
@@ -464,6 +467,48 @@ def name_words(marks: DataFrame) -> int:
     return 1 if alike.isEmpty() else 2
 
 
+def _places(key: str, bits: int) -> list:
+    """Two places of a key among the filter's bits."""
+    return [F.pmod(F.xxhash64(F.lit(seed), key), F.lit(bits)) for seed in (1, 2)]
+
+
+def filter_bits(wanted: DataFrame, key: str, bits: int) -> np.ndarray:
+    """The bytes of a filter of so many bits, a multiple of ``BITMAP``, with those of the wanted keys set."""
+    at = wanted.select(F.explode(F.array(*(p + 1 for p in _places(key, bits)))).alias("x"))
+    at = at.select(F.bitmap_bucket_number("x").alias("b"), F.bitmap_bit_position("x").alias("p"))
+    # Positions are moved, not a bitmap of every task.
+    found = at.repartition("b").groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    out = np.zeros((bits // BITMAP, BITMAP // 8), np.uint8)
+    for row in found:
+        out[row["b"] - 1] = np.frombuffer(row["m"], np.uint8)
+    return out.ravel()
+
+
+def rebuilt(docs: DataFrame, alive: DataFrame, nodes: int, *, text: str, key: str) -> DataFrame:
+    """(node, grams) of the nodes of ``alive``, from the document that stands for each.
+
+    No text is moved: a filter of bounded size lets few other documents pass, of which the join gets rid.
+    """
+    bits = BITMAP * math.ceil(min(MOST_BITS, BITS_EACH * nodes) / BITMAP)
+    held = docs.sparkSession.sparkContext.broadcast(filter_bits(alive, "_doc", bits))
+    source = docs.select(F.col(key).alias("_id"), utf8(text).alias("_utf8"), *(p.alias(f"_p{k}") for k, p in enumerate(_places(key, bits))))
+    schema = source.select("_id", F.lit(None).cast("binary").alias("_node"), F.lit(None).cast("binary").alias("grams")).schema
+
+    def rebuild(batches):
+        for batch in batches:
+            at = np.ones(batch.num_rows, bool)
+            for place in (batch.column(c).to_numpy() for c in ("_p0", "_p1")):
+                at &= held.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+            some = batch.filter(pa.array(at))
+            for a in range(0, some.num_rows, REBUILT):
+                ids, texts = (some.column(c).slice(a, REBUILT) for c in ("_id", "_utf8"))
+                sets = [shingles(text.as_py()) for text in texts]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "_node", "grams"])
+
+    sets = source.mapInArrow(rebuild, schema).withColumnRenamed("_node", "_of").where("_of is not null")
+    return sets.join(alive, (F.col("_of") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "grams")
+
+
 def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, percent: int = PERCENT) -> DataFrame | None:
     """(_node, _found) for the nodes with links, from documents and their signed rows; None without any. ``_found`` is the component's smallest node."""
     total = marks.agg(F.sum("_n")).first()[0] or 0
@@ -482,18 +527,9 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
         return None
     fragments = max(LEAST_LEFT, math.ceil(left / FRAGMENT_SHINGLES))
     few = lambda rows: max(1, math.ceil(rows / PART_ROWS))
-    wanted = alive.select(F.col("_doc").alias("_want")).distinct()
-    source = docs.select(F.col(key), utf8(text).alias("_utf8")).join(wanted, F.col(key).eqNullSafe(F.col("_want")), "left_semi").select("_utf8")
-
-    def rebuild(batches):
-        for batch in batches:
-            texts = batch.column("_utf8")
-            for a in range(0, batch.num_rows, REBUILT):
-                sets = [shingles(text.as_py()) for text in texts[a : a + REBUILT]]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["_node", "grams"])
-
-    sets = source.mapInArrow(rebuild, "_node binary, grams binary").where("_node is not null")
-    sets = materialise(sets.join(alive.select("_node", "node"), "_node").select("node", "grams"))
+    # Written by node once, so that no step moves whole sets to join them.
+    name = f"ngram_join_{uuid.uuid4().hex}"
+    sets = bucketed(rebuilt(docs, alive, nodes, text=text, key=key), "node", max(fragments, partitions(docs.sparkSession)), name)
     ranked = materialise(prefixes(sets, fragments, percent).coalesce(few(nodes)))
     postings = materialise(_postings(sets, ranked, fragments))
     rows = max(1, postings.count())
@@ -520,6 +556,7 @@ def node_components(docs: DataFrame, marks: DataFrame, *, text: str, key: str, p
         else:
             linked = 0
         postings = known.select("gram", "node", "n", "rem", "rest")
+    drop_bucketed(docs.sparkSession, name)
     if labels is None:
         return None
     named = labels.join(alive.select("node", "_node"), "node")

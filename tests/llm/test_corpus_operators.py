@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -132,6 +133,37 @@ def test_ngram_join_of_very_long_texts(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def shuffled(spark):
+    time.sleep(0.5)  # the totals are brought up to date every tenth of a second
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_ngram_join_moves_no_texts(spark):
+    # Each of these texts is one long word; only the other two are in question after the first step.
+    rng, words = random.Random(2), " ".join(f"w{i}" for i in range(40))
+    texts = [rng.randbytes(10_000).hex() for _ in range(200)] + [words, words + " more"]
+    before = shuffled(spark)
+    got = {r["doc_id"]: r["component_id"] for r in J.classes(docs(spark, texts)).collect()}
+    assert got == {i: min(i, 200) for i in range(202)}
+    assert shuffled(spark) - before < 1_000_000
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 15])
+def test_rebuilt_sets_however_full_the_filter(spark, monkeypatch, most):
+    # With the smaller limit more than half of the unwanted documents pass the filter, but not the join.
+    monkeypatch.setattr(J, "MOST_BITS", most)
+    n = 50_000
+    frame = spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    frame = frame.union(spark.createDataFrame([(2, "another text of id two")], frame.schema))
+    alive = J.signed(frame.where("doc_id is null or doc_id % 2 = 0 and text like 'word%'"), ["doc_id"]).select("_node", F.col("doc_id").alias("_doc"))
+    alive = J.materialise(alive.withColumn("node", F.coalesce("_doc", F.lit(0))))
+    got = {r["node"]: r["grams"] for r in J.rebuilt(frame, alive, n // 2, text="text", key="doc_id").collect()}
+    assert len(got) == n // 2 and all(got[i] == J.shingles(f"word {i}".encode()).tobytes() for i in range(0, n, 2))
+
+
 def test_partial_overlaps():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 40, n)).astype(np.uint64) for n in (0, 5, 30, 60, 1)]
